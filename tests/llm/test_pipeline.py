@@ -1,0 +1,27 @@
+"""The pipeline's stages keep rows, columns and clean documents; planted cases go."""
+
+import corpus_pipeline
+from tidemark.llm import decontaminate, simhash, suffix_dedup
+
+
+def test_stages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").cache()
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["toxicity", "simhash_dedup", "suffix_dedup", "decontaminate", "packing"]
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, at, sf)
+        assert out.columns == docs.columns and out.count() <= at.count()
+        if name == "simhash_dedup":
+            assert out.count() == simhash.near_duplicates(at).select("component_id").distinct().count()
+        if name == "suffix_dedup":
+            assert out.count() == at.count()
+            want = {r.doc_id: r.n_bytes - r.n_removed for r in suffix_dedup.dedup_digest(at).collect()}
+            assert all(0 <= len(r.text.encode()) - want[r.doc_id] <= 400 for r in out.collect())
+        if name == "decontaminate":
+            bad = decontaminate.contamination(at, spark.read.parquet(f"{sf}/benchmark.parquet")).where("contaminated")
+            assert out.count() == at.count() - bad.count()
+        at = out.cache()
+    packed = corpus_pipeline.STAGES[-1][1](spark, at, sf)
+    assert packed.select("doc_id").distinct().count() == at.count()
+    assert corpus_pipeline.run(spark, sf).count() == packed.count()
