@@ -4,8 +4,8 @@ Every item gives its windows of ``size`` consecutive words (an item with fewer w
 contains a window only if it contains all its words, so the prefix of the join is a single word
 (length - required overlap + 1 = 1): the word of the window that is rarest in the corpus. Documents are joined
 by that word alone; length and positional bounds (the window must fit around the word's place) cut
-candidates, and comparing the words verifies each. Document words never leave their
-row: the join streams them past a broadcast of windows, and only verified places are shuffled.
+candidates, and comparing the words verifies each. Words that are no prefix are passed over inside their row;
+only the places of prefix words meet the broadcast windows, and only verified places are shuffled.
 
 The broadcast holds at most ``windows_at_once`` windows; a larger benchmark is joined in parts of that size, each
 with a pass over the documents. A word's rarity is counted over all documents.
@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from ._common import ascii_lower, durable, table
 
 SIZE = 10
-WINDOWS_AT_ONCE = 200_000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WINDOWS_AT_ONCE = 20_000
+#: What stands between words of lower-cased text.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), "")
 
 
 def _windows(benchmark: DataFrame, item: str, text: str, size: int) -> DataFrame:
@@ -38,31 +39,41 @@ def _windows(benchmark: DataFrame, item: str, text: str, size: int) -> DataFrame
     return cut.groupBy("window").agg(F.collect_set("item").alias("items"))
 
 
+def _among(words_of: DataFrame):
+    """Whether a word is one of the column __word, at most windows_at_once x size words."""
+    held = [r[0] for r in words_of.select("__word").distinct().collect()]
+    return lambda x: x.isin(held) if held else F.lit(False)
+
+
 def hits(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = SIZE, windows_at_once: int = WINDOWS_AT_ONCE) -> DataFrame:
     """Per row of df: __key, __t (hash of the text), n_words, n_hit, n_items, items_sha256, contaminated; equal rows once, with __rows of them."""
     windows = durable(_windows(benchmark, item, item_text, size).withColumn("id", F.monotonically_increasing_id()), "windows")
     n = windows.count()
     parts = max(1, -(-n // windows_at_once))
     docs = df.select(F.col(key).alias("__key"), F.xxhash64(F.col(text).cast("string")).alias("__t"), F.octet_length(F.col(text).cast("string")).alias("__len"), words(F.col(text).cast("string")).alias("__w"))
-    # The empty word stands for the document itself, so that documents without hits come through the same pass.
-    places = docs.select("__key", "__t", "__len", "__w", F.posexplode(F.array_insert("__w", F.lit(1), F.lit(""))).alias("__p", "__word"))
     found = None
     for part in range(parts):
         mine = windows.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == part) if parts > 1 else windows
         vocabulary = mine.select(F.explode("window").alias("__word")).distinct()
-        rarity = durable(vocabulary.join(places.join(F.broadcast(vocabulary), "__word").groupBy("__word").agg(F.count(F.lit(1)).alias("c")), "__word", "left").select("__word", F.coalesce("c", F.lit(0)).alias("c")), "rarity")
+        among = _among(vocabulary)
+        seen = docs.select(F.explode(F.filter("__w", among)).alias("__word")).groupBy("__word").agg(F.count(F.lit(1)).alias("c"))
+        rarity = vocabulary.join(seen, "__word", "left").select("__word", F.coalesce("c", F.lit(0)).alias("c"))
         ranked = mine.select("id", "window", F.posexplode("window").alias("o", "__word")).join(rarity, "__word")
         prefix = ranked.groupBy("id").agg(F.min(F.struct("c", "__word", "o")).alias("m"), F.first("window").alias("window"))
         prefix = prefix.select(F.col("m.__word").alias("__word"), F.col("m.o").alias("o"), "id", "window")
-        # One row a word: a place meets its windows as one array and emits verified ones only.
+        # One row a word: a place meets its windows as one array.
         prefix = prefix.groupBy("__word").agg(F.collect_list(F.struct("o", "id", "window")).alias("by"))
-        if part == 0:
-            self_row = df.sparkSession.range(1).select(F.lit("").alias("__word"), F.array().cast(prefix.schema["by"].dataType).alias("by"))
-            prefix = prefix.unionByName(self_row)
+        prefix = durable(prefix, "prefixes")
+        among = _among(prefix)
+        places = F.array_compact(F.transform("__w", lambda x, i: F.when(among(x), i + 1)))
+        if part == 0:  # place 0 stands for the document itself, so that documents without hits come through the same pass
+            places = F.array_insert(places, 1, F.lit(0))
+            prefix = prefix.unionByName(df.sparkSession.range(1).select(F.lit("").alias("__word"), F.array().cast(prefix.schema["by"].dataType).alias("by")))
         at = lambda x: F.col("__p") - x["o"]  # noqa: E731  first word of the window, from 1
         fits = lambda x: (at(x) >= 1) & (at(x) + F.size(x["window"]) - 1 <= F.size("__w"))
         same = lambda x: F.slice("__w", F.greatest(at(x), F.lit(1)), F.size(x["window"])) == x["window"]
-        near = places.join(F.broadcast(durable(prefix, "prefixes")), "__word")
+        near = docs.select("*", F.explode(places).alias("__p")).withColumn("__word", F.when(F.col("__p") == 0, F.lit("")).otherwise(F.try_element_at("__w", F.col("__p"))))
+        near = near.join(F.broadcast(prefix), "__word")
         ok = F.transform(F.filter("by", lambda x: fits(x) & same(x)), lambda x: F.struct(at(x).alias("a"), (at(x) + F.size(x["window"])).alias("b"), x["id"].alias("id")))
         near = near.select("__key", "__t", "__len", F.size("__w").alias("n"), (F.col("__p") == 0).alias("self"), ok.alias("ok")).where("self or size(ok) > 0")
         near = durable(near, "part") if parts > 1 else near
