@@ -7,11 +7,15 @@ the bytes they span are the trigger's phrase. Equal windows have equal triggers
 
 Dictionary and parse. Phrases are keyed by (trigger hash, 128-bit phrase hash): the dictionary is the distinct
 phrases with their counts, the parse the occurrences. A phrase that occurs twice is repeated whole. A trigger
-with one phrase that occurs once has no repeated window. Only for triggers with several
-distinct phrases does order inside a phrase matter; there the phrase suffixes (trigger-anchored, so no one is a prefix
-of another) with what follows them, cut at ``length`` bytes, are put in classes of equal strings by 128-bit
-hashes. That is the suffix order of dictionary and parse up to the depth asked for, found by
-partitioned grouping instead of one global array; copies and repeated phrases are never expanded.
+with one phrase that occurs once has no repeated window. Only the phrases of triggers with several distinct
+phrases are ordered, trigger by trigger: one suffix array of what precedes the trigger (the dictionary's
+phrase ends, read backwards) and one of what follows it (the parse), each with its common-prefix lengths. A window that
+starts d bytes before the trigger occurs elsewhere if a phrase with a common part of d bytes on the left
+has one of ``length`` - d on the right; both arrays together give that for every d, which is the corpus order at
+the depth asked for without one global array. Copies and repeated phrases are never expanded.
+
+A trigger with more than ``group_rows`` distinct phrases (a line that a large part of the corpus holds, in
+ever other surroundings) is never gathered: its windows are keyed by 128-bit hashes and counted with partial aggregation.
 
 Texts are bytes in UTF-8. Defined results: null and empty texts have no bytes and nothing removed; texts shorter than
 ``length`` keep all; equal texts of at least ``length`` bytes lose all of it, in every copy; rows are answered one by one.
@@ -31,7 +35,7 @@ from pyspark.sql import types as T
 
 from ._common import durable, release, small_batches, table, text_key
 
-LENGTH, GRAM = 400, 100
+LENGTH, GRAM, GROUP_ROWS = 400, 100, 10_000
 CHUNK = 1 << 18  # bytes parsed at once
 
 _rng = np.random.default_rng(20240229)
@@ -65,8 +69,8 @@ def rolling(data: np.ndarray, width: int, which: int) -> np.ndarray:
     return h
 
 
-def triggers(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the windows of data by start: first start, last start and hash of every run with one trigger."""
+def triggers(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """For the windows of data by start: first start, last start, hash and place of the trigger of every run with one."""
     h = rolling(data, gram, 0)
     span = length - gram + 1
     n = len(data) - length + 1
@@ -82,17 +86,17 @@ def triggers(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.n
     edge = np.flatnonzero(at[1:] != at[:-1]) + 1
     first = np.concatenate(([0], edge))
     last = np.concatenate((edge - 1, [n - 1]))
-    return first, last, h[at[first]]
+    return first, last, h[at[first]], at[first]
 
 
 def parse(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Per block of texts: (text number, first start, last start, trigger hash, two halves of the phrase hash)."""
+    """Per block of texts: (text number, first start, last start, trigger hash, two halves of the phrase hash, trigger's place from the first start)."""
     block: list[tuple[int, int, bytes]] = []
     held = 0
 
     def flush():
         whole = b"".join(x[2] for x in block)
-        first, last, key = triggers(np.frombuffer(whole, np.uint8), length, gram)
+        first, last, key, place = triggers(np.frombuffer(whole, np.uint8), length, gram)
         sizes = np.array([len(x[2]) for x in block])
         begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         end = begin + sizes - length  # last start of a window that lies in one text
@@ -108,7 +112,7 @@ def parse(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[np.ndarr
         digest = xxhash.xxh3_128_digest
         halves = np.frombuffer(b"".join([digest(whole[i : j + length]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]), np.int64).reshape(-1, 2)
         number, base = np.array([x[0] for x in block])[doc], np.array([x[1] for x in block])[doc] - begin[doc]
-        return number, a + base, b + base, key[run].view(np.int64), halves[:, 0], halves[:, 1]
+        return number, a + base, b + base, key[run].view(np.int64), halves[:, 0], halves[:, 1], place[run] - a
 
     for i, t in enumerate(texts):
         for k in range(0, max(0, len(t) - length + 1), CHUNK):
@@ -128,33 +132,152 @@ def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             t1, t2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             texts = [t.encode() for t in batch.column(2).to_pylist()]
-            for number, a, b, k, f1, f2 in parse(texts, length, gram):
-                yield pa.record_batch([pa.array(k), pa.array(f1), pa.array(f2), pa.array(t1[number]), pa.array(t2[number]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["k", "f1", "f2", "t1", "t2", "lo", "hi"])
+            for number, a, b, k, f1, f2, off in parse(texts, length, gram):
+                cols = [k, f1, f2, t1[number], t2[number], a.astype(np.int32), b.astype(np.int32), off.astype(np.int32)]
+                yield pa.record_batch([pa.array(c) for c in cols], names=["k", "f1", "f2", "t1", "t2", "lo", "hi", "off"])
+
+    return docs.mapInArrow(run, "k long, f1 long, f2 long, t1 long, t2 long, lo int, hi int, off int")
+
+
+def suffix_order(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the parts, and the common prefix length of each with the one before it in that order."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    common = np.zeros(len(parts), np.int64)
+    for x in range(1, len(order)):
+        common[x] = _common_prefix(parts[order[x - 1]], parts[order[x]])
+    return np.array(order), common
+
+
+def _common_prefix(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    lo, hi = 0, n  # a[:lo] == b[:lo], a[:hi] != b[:hi]
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid
+    return lo
+
+
+def repeated_starts(phrases: list[tuple[bytes, int, int]], length: int) -> list[list[tuple[int, int]]]:
+    """For distinct phrases (bytes, trigger's place, times) of one trigger: intervals of starts whose windows occur twice."""
+    m = len(phrases)
+    back = [p[:off][::-1] for p, off, _ in phrases]
+    ahead = [p[off:] for p, off, _ in phrases]
+    top = [len(p) - length for p, _, _ in phrases]  # the last start
+    out: list[list[tuple[int, int]]] = [[] for _ in phrases]
+    if m <= 12:
+        for i in range(m):
+            for j in range(i + 1, m):
+                left, right = _common_prefix(back[i], back[j]), _common_prefix(ahead[i], ahead[j])
+                # d bytes before the trigger: in both phrases a start, equal on both sides.
+                lo = max(length - right, phrases[i][1] - top[i], phrases[j][1] - top[j], 0)
+                if lo <= left:
+                    for x in (i, j):
+                        out[x].append((phrases[x][1] - left, phrases[x][1] - lo))
+        return out
+    (order_b, common_b), (order_a, common_a) = suffix_order(back), suffix_order(ahead)
+    off, last, times = (np.array(x) for x in ([p[1] for p in phrases], top, [p[2] for p in phrases]))
+    class_b, class_a = np.empty(m, np.int64), np.empty(m, np.int64)
+    for d in range(int((off - last).min()), int(off.max()) + 1):
+        here = (d <= off) & (off - d <= last)
+        if d < 0 or here.sum() < 2:
+            continue
+        class_b[order_b] = np.cumsum(common_b < d)
+        class_a[order_a] = np.cumsum(common_a < length - d)
+        who = np.flatnonzero(here)
+        _, pair, count = np.unique(class_b[who] * (m + 1) + class_a[who], return_inverse=True, return_counts=True)
+        for x in who[count[pair] > 1].tolist():
+            s = int(off[x]) - d
+            if out[x] and out[x][-1][0] == s + 1:
+                out[x][-1] = (s, out[x][-1][1])
+            else:
+                out[x].append((s, s))
+    return out
 
-    return docs.mapInArrow(run, "k long, f1 long, f2 long, t1 long, t2 long, lo int, hi int")
 
+_PHRASES = "k long, t1 long, t2 long, lo int, off int, n long, phrase binary"
 
-def _windows(cand: DataFrame, length: int) -> DataFrame:
-    """Every window of the phrases in ``open``: (w1, w2, t1, t2, pos, n)."""
+
+def _phrases(cand: DataFrame, length: int) -> DataFrame:
+    """The open phrases of the candidate texts with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[tuple] = []
             for t1, t2, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = np.frombuffer(text.encode(), np.uint8)
-                for s in spans:
-                    part = data[s["lo"] : s["hi"] + length]
-                    pos = np.arange(s["lo"], s["hi"] + 1, dtype=np.int32)
-                    for to, x in zip(out, (rolling(part, length, 1).view(np.int64), rolling(part, length, 2).view(np.int64), np.full(len(pos), t1), np.full(len(pos), t2), pos, np.full(len(pos), s["n"], np.int64)), strict=True):
-                        to.append(x)
-                if sum(map(len, out[0][-64:])) > 1 << 14 or len(out[0]) > 2000:
-                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], names=names)
-                    out = [[], [], [], [], [], []]
-            if out[0]:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], names=names)
+                data = text.encode()
+                out += [(s["k"], t1, t2, s["lo"], s["off"], s["n"], data[s["lo"] : s["hi"] + length]) for s in spans]
+                if len(out) > 5000:
+                    yield emit(out)
+                    out = []
+            if out:
+                yield emit(out)
+
+    def emit(out):
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["k", "t1", "t2", "lo", "off", "n", "phrase"])
+
+    return cand.select("t1", "t2", "text", "open").mapInArrow(run, _PHRASES)
+
+
+def _matched(phrases: DataFrame, length: int, group_rows: int) -> DataFrame:
+    """(t1, t2, a, b) start intervals that repeat; phrases of triggers over group_rows come back whole, with phrase and n."""
+    names = ["t1", "t2", "a", "b", "n", "phrase"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, over, out = None, [], False, []
+
+        def solved():
+            if len(rows) > 1:
+                for (t1, t2, lo, *_), runs in zip(rows, repeated_starts([(p, off, n) for _, _, _, off, n, p in rows], length), strict=True):
+                    out.extend((t1, t2, lo + a, lo + b, 0, None) for a, b in runs)
+
+        def passed():
+            out.extend((t1, t2, lo, lo, n, p) for t1, t2, lo, _, n, p in rows)
 
+        def emit():
+            made = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+            out.clear()
+            return made
+
+        for batch in batches:
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key:
+                    passed() if over else solved()
+                    key, rows, over = k, [], False
+                rows.append(row)
+                if len(rows) > group_rows or over and len(rows) > 500:
+                    over = True
+                    passed()
+                    rows = []
+                if len(out) > 2000:
+                    yield emit()
+        passed() if over else solved()
+        if out:
+            yield emit()
+
+    dealt = phrases.repartition("k").sortWithinPartitions("k")
+    return dealt.mapInArrow(run, "t1 long, t2 long, a int, b int, n long, phrase binary")
+
+
+def _windows(phrases: DataFrame, length: int) -> DataFrame:
+    """Every window of phrases by hash: (w1, w2, t1, t2, pos, n)."""
     names = ["w1", "w2", "t1", "t2", "pos", "n"]
-    return cand.select("t1", "t2", "text", "open").mapInArrow(run, "w1 long, w2 long, t1 long, t2 long, pos int, n long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t1, t2, lo, n, phrase in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part = np.frombuffer(phrase, np.uint8)
+                many = len(part) - length + 1
+                cols = [rolling(part, length, 1).view(np.int64), rolling(part, length, 2).view(np.int64), np.full(many, t1), np.full(many, t2), np.arange(lo, lo + many, dtype=np.int32), np.full(many, n, np.int64)]
+                yield pa.record_batch([pa.array(c) for c in cols], names=names)
+
+    return phrases.select("t1", "t2", F.col("a").alias("lo"), "n", "phrase").mapInArrow(run, "w1 long, w2 long, t1 long, t2 long, pos int, n long")
 
 
 def merged(whole: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -168,7 +291,7 @@ def merged(whole: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Per distinct text with repeated bytes: __t1, __t2 (its key), text, spans (array of struct<a int, b int>, byte runs)."""
     if not 0 < gram < length:
         raise ValueError("gram must be shorter than length")
@@ -176,33 +299,37 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, gram
     docs = df.select(*text_key(F.col(text).cast("string")), F.col(text).cast("string").alias("text")).where(F.octet_length("text") >= length)
     docs = docs.withColumnsRenamed({"__t1": "t1", "__t2": "t2"})
     occ = durable(_occurrences(docs, length, gram), "phrases")
-    one = F.struct("t1", "t2", "lo", "hi")
+    one = F.struct("t1", "t2", "lo", "hi", "off")
     dictionary = occ.groupBy("k", "f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("at"))
     dictionary = durable(dictionary, "dictionary")
     several = dictionary.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k")
-    opened = dictionary.join(several, "k").select("at.*", "n")
+    opened = dictionary.join(several, "k").select("at.*", "n", "k")
     twice = dictionary.where("n > 1").select("k", "f1", "f2")
     whole = occ.join(twice, ["k", "f1", "f2"]).select("t1", "t2", "lo", "hi")
-    work = whole.withColumn("n", F.lit(0).cast("long")).unionByName(opened).distinct()
-    work = work.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi", "n")).alias("work"))
-    work = durable(work, "passages")
+    whole = whole.distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("whole"))
+    opened = opened.groupBy("t1", "t2").agg(F.collect_list(F.struct("k", "lo", "hi", "off", "n")).alias("open"))
+    work = durable(whole.join(opened, ["t1", "t2"], "full"), "passages")
     release(occ)
     release(dictionary)
     texts = docs.groupBy("t1", "t2").agg(F.first("text").alias("text"))
-    cand = work.join(texts, ["t1", "t2"]).select("t1", "t2", "text", F.filter("work", lambda x: x["n"] == 0).alias("whole"), F.filter("work", lambda x: x["n"] > 0).alias("open"))
-    cand = durable(cand, "candidates")
+    cand = durable(work.join(texts, ["t1", "t2"]), "candidates")
     release(work)
-    win = durable(_windows(cand.where(F.size("open") > 0), length), "windows")
-    again = win.groupBy("w1", "w2").agg(F.sum("n").alias("m")).where("m > 1").select("w1", "w2")
-    starts = win.where("n = 1").join(again, ["w1", "w2"]).groupBy("t1", "t2").agg(F.collect_set("pos").alias("starts"))
+    matched = durable(_matched(_phrases(cand.where("open is not null"), length), length, group_rows), "matched")
+    starts = matched.where("phrase is null").select("t1", "t2", "a", "b")
+    over = matched.where("phrase is not null")
+    if not over.isEmpty():
+        win = durable(_windows(over, length), "windows")
+        again = win.groupBy("w1", "w2").agg(F.sum("n").alias("m")).where("m > 1").select("w1", "w2")
+        starts = starts.unionByName(win.where("n = 1").join(again, ["w1", "w2"]).select("t1", "t2", F.col("pos").alias("a"), F.col("pos").alias("b")))
+    starts = starts.groupBy("t1", "t2").agg(F.collect_list(F.struct("a", "b")).alias("starts"))
     found = cand.select("t1", "t2", "text", "whole").join(starts, ["t1", "t2"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         for batch in batches:
             spans = []
-            for intervals, pos in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                runs = merged([(x["lo"], x["hi"]) for x in intervals] + [(p, p) for p in pos or []], length)
+            for intervals, more in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                runs = merged([(x["lo"], x["hi"]) for x in intervals or []] + [(x["a"], x["b"]) for x in more or []], length)
                 spans.append([{"a": a, "b": b} for a, b in runs])
             yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(spans, kind)], names=["__t1", "__t2", "text", "spans"])
 
@@ -220,7 +347,7 @@ def _digest(text: str, spans: list[dict]) -> tuple[int, int, str]:
     return removed, len(spans), kept.hexdigest()
 
 
-def dedup_digest(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def dedup_digest(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Per row: the key, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +355,7 @@ def dedup_digest(df: DataFrame, key: str = "doc_id", text: str = "text", length:
             got = [_digest(t, s) for t, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.string())], names=["__t1", "__t2", "r", "s", "h"])
 
-    cut = durable(repeated_spans(df, text, length, gram).mapInArrow(run, "__t1 long, __t2 long, r long, s long, h string"), "cut")
+    cut = durable(repeated_spans(df, text, length, gram, group_rows).mapInArrow(run, "__t1 long, __t2 long, r long, s long, h string"), "cut")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = df.select(F.col(key).alias("__key"), *text_key(F.col(text).cast("string")), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body.cast("binary"), 256).alias("__sha"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
