@@ -30,9 +30,9 @@ def _plain(c: Column) -> Column:
     return c
 
 
-def _pairs(text: Column, pattern: str) -> Column:
-    """key=value lists as a map."""
-    parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _pairs(text: Column) -> Column:
+    """Entries of a key=value list, cut at commas outside quotes."""
+    parts = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, r',(?=(?:[^"]*"[^"]*")*[^"]*$)'))
     cut = lambda x: F.instr(x, F.lit("="))
     entry = lambda x: F.struct(_plain(F.substring(x, F.lit(1), cut(x) - 1)).alias("key"), F.substring(x, cut(x) + 1, F.length(x)).alias("value"))
     return F.transform(parts, entry)
@@ -46,15 +46,22 @@ def _typed(v: Column) -> Column:
     return F.struct(whole.alias("i"), F.when(whole.isNull() & text.isNull(), v.try_cast("double")).alias("d"), text.alias("s"))
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """Columns computed once a row, however often they are used: projections don't merge through a generator."""
+    return df.select(F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("__row")).select("__row.*")
+
+
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:
     """measurement, tags (map), fields (map to struct<i,d,s>), ts, ts_ns, line, error. Blank lines and # comments go."""
     line = F.trim(F.col(column))
     rows = lines.select(line.alias("line")).where((F.col("line") != "") & ~F.col("line").startswith("#")).withColumn("__l", _shielded(F.col("line")))
+    rows = _once(rows)
     good = F.col("__l").rlike(_LINE)
     part = lambda i: F.regexp_extract("__l", _LINE, i)
-    fields = F.transform(_pairs(part(3), _FIELD), lambda e: F.struct(e["key"], _typed(e["value"]).alias("value")))
-    tags = F.transform(_pairs(part(2), r"[^,= ]+=[^,= ]+"), lambda e: F.struct(e["key"], _plain(e["value"]).alias("value")))
+    fields = F.transform(_pairs(part(3)), lambda e: F.struct(e["key"], _typed(e["value"]).alias("value")))
+    tags = F.transform(_pairs(F.substring(part(2), F.lit(2), F.length(part(2)))), lambda e: F.struct(e["key"], _plain(e["value"]).alias("value")))
     rows = rows.select("line", good.alias("__ok"), _plain(part(1)).alias("measurement"), tags.alias("__t"), fields.alias("__f"), part(4).try_cast("long").alias("__ns"))
+    rows = _once(rows)
     bad = F.exists("__f", lambda e: e["value"]["i"].isNull() & e["value"]["d"].isNull() & e["value"]["s"].isNull())
     twice = (F.size(F.array_distinct(F.transform("__f", lambda e: e["key"]))) < F.size("__f")) | (F.size(F.array_distinct(F.transform("__t", lambda e: e["key"]))) < F.size("__t"))
     error = F.when(~F.col("__ok"), "not a line").when(bad, "not a value").when(twice, "a key twice")
@@ -63,9 +70,10 @@ def parse(lines: DataFrame, column: str = "value") -> DataFrame:
     now = F.unix_micros(F.current_timestamp()) * 1000
     ns = F.when(F.coalesce("__ns", F.lit(0)) == 0, now).otherwise(F.col("__ns"))
     # Null entries instead of broken ones: maps refuse keys that come twice.
-    return rows.select(
+    out = rows.select(
         F.when(fine, F.col("measurement")).alias("measurement"), F.map_from_entries(F.when(fine, F.col("__t"))).alias("tags"), F.map_from_entries(F.when(fine, F.col("__f"))).alias("fields"),
         F.when(fine, F.timestamp_micros(F.call_function("div", ns - F.pmod(ns, F.lit(1000)), F.lit(1000))).cast("timestamp_ntz")).alias("ts"), F.when(fine, ns).alias("ts_ns"), "line", "error")
+    return _once(out)
 
 
 def measurement(parsed: DataFrame, name: str, tags: list[str], fields: dict[str, str]) -> DataFrame:
