@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import gc
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,14 +53,7 @@ def release(df: DataFrame) -> None:
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches that stay small with long texts, and this package on every worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    sc = spark.sparkContext
-    if not getattr(sc, "_tidemark_shipped", False):
-        package = Path(__file__).resolve().parent.parent
-        with tempfile.TemporaryDirectory() as d:
-            top = Path(d) / "src"
-            shutil.copytree(package, top / package.name, ignore=shutil.ignore_patterns("__pycache__"))
-            sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}-{sc.applicationId}", "zip", top))
-        sc._tidemark_shipped = True
+    ship(spark)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -226,13 +226,18 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, distance: int = DISTANCE, seed: int = SEED, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame]:
     """(key and __fp of every row, component of every fingerprint: __fp, __root, __component)."""
     rows = durable(with_fingerprints(df.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text")), "__text", words, seed).select("__key", "__fp"), "simhash-prints")
+    return rows, named_components(rows, distance, cell_rows)
+
+
+def named_components(rows: DataFrame, distance: int = DISTANCE, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """__fp, __root, __component of every fingerprint of rows (__key, __fp)."""
     prints = rows.groupBy("__fp").agg(F.min("__key").alias("__least"))
     root = components(links(prints.select(F.col("__fp").alias("fp")), distance, cell_rows))
     named = prints.join(root.select(F.col("node").alias("__fp"), F.col("root").alias("__r")), "__fp", "left").withColumn("__root", F.coalesce("__r", "__fp"))
     # One row a component, then back to its fingerprints: both sides hold distinct fingerprints only.
     named = durable(named.select("__fp", "__root", "__least"), "simhash-classes")
     least = named.groupBy("__root").agg(F.min("__least").alias("__component"))
-    return rows, named.select("__fp", "__root").join(least, "__root")
+    return named.select("__fp", "__root").join(least, "__root")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -242,10 +247,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", **op
     return out.select(F.col("__key").alias(key), F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.col("__component").alias("component_id"))
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, seed: int = SEED, **options) -> DataFrame:
     """The rows of df without near duplicates: of each component the row with the least key stays."""
-    rows, named = classes(df, key, text, **options)
-    fps = with_fingerprints(df, text)
+    fps = durable(with_fingerprints(df, text, words, seed), "simhash-rows")  # once: hashing costs more than writing
+    named = named_components(fps.select(F.col(key).alias("__key"), "__fp"), **options)
     # Only the row with the component's key is left for the ranking, and repeated rows of it.
     kept = fps.join(named, "__fp").where(F.col(key).eqNullSafe(F.col("__component")))
     first = Window.partitionBy("__root").orderBy(F.xxhash64(F.col(text)), F.col(text))
