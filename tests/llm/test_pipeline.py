@@ -25,3 +25,13 @@ def test_stages(spark, sf):
     packed = corpus_pipeline.STAGES[-1][1](spark, at, sf)
     assert packed.select("doc_id").distinct().count() == at.count()
     assert corpus_pipeline.run(spark, sf).count() == packed.count()
+
+
+def test_sweep(spark, tmp_path):
+    from tidemark.llm import _common
+
+    kept = _common.durable(spark.range(3), "kept")
+    assert kept.count() == 3
+    gone = _common.durable(spark.range(3), "gone")
+    _common.release(gone)
+    assert kept.count() == 3 and _common.sweep(spark) >= 1

@@ -50,6 +50,17 @@ def release(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Deletes all durable tables in the shared folder; for when no result that reads them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = [s.getPath() for s in fs.listStatus(top) if s.getPath().getName().startswith("tidemark-")] if fs.exists(top) else []
+    for path in gone:
+        fs.delete(path, True)
+    return len(gone)
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches that stay small with long texts, and this package on every worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -7,8 +7,8 @@ by that word alone; length and positional bounds (the window must fit around the
 candidates, and comparing the words verifies each. Words that are no prefix are passed over inside their row;
 only the places of prefix words meet the broadcast windows, and only verified places are shuffled.
 
-The broadcast holds at most ``windows_at_once`` windows; a larger benchmark is joined in parts of that size, each
-with a pass over the documents. A word's rarity is counted over all documents.
+The broadcast holds about ``windows_at_once`` windows and BYTES_AT_ONCE bytes of words at most; a larger benchmark is
+joined in parts of that size, each with a pass over the documents. A word's rarity is counted over all documents.
 
 Defined results: null texts and ids: no words, null ids form no item; a document without hits has zeros, the digest of the empty string
 and false; repeated documents are answered one by one, repeated items count by their item_id; an empty
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ._common import ascii_lower, durable, table
 
 SIZE = 10
-WINDOWS_AT_ONCE = 20_000
+WINDOWS_AT_ONCE, BYTES_AT_ONCE = 20_000, 32 << 20
 #: What stands between words of lower-cased text.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -48,8 +48,8 @@ def _among(words_of: DataFrame):
 def hits(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = SIZE, windows_at_once: int = WINDOWS_AT_ONCE) -> DataFrame:
     """Per row of df: __key, __t (hash of the text), n_words, n_hit, n_items, items_sha256, contaminated; equal rows once, with __rows of them."""
     windows = durable(_windows(benchmark, item, item_text, size).withColumn("id", F.monotonically_increasing_id()), "windows")
-    n = windows.count()
-    parts = max(1, -(-n // windows_at_once))
+    n, size = windows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.array_join("window", " "))), F.lit(0))).first()
+    parts = max(1, -(-n // windows_at_once), -(-size // BYTES_AT_ONCE))
     docs = df.select(F.col(key).alias("__key"), F.xxhash64(F.col(text).cast("string")).alias("__t"), F.octet_length(F.col(text).cast("string")).alias("__len"), words(F.col(text).cast("string")).alias("__w"))
     found = None
     for part in range(parts):
