@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import durable, release, small_batches, table
+from ._common import durable, small_batches, table, text_key
 
 WORDS, SEED, DISTANCE = 3, 42, 3
 CELL_ROWS = 20_000
@@ -249,12 +249,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", **op
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, seed: int = SEED, **options) -> DataFrame:
     """The rows of df without near duplicates: of each component the row with the least key stays."""
-    fps = durable(with_fingerprints(df, text, words, seed), "simhash-rows")  # once: hashing costs more than writing
-    named = named_components(fps.select(F.col(key).alias("__key"), "__fp"), **options)
-    # Only the row with the component's key is left for the ranking, and repeated rows of it.
-    kept = fps.join(named, "__fp").where(F.col(key).eqNullSafe(F.col("__component")))
-    first = Window.partitionBy("__root").orderBy(F.xxhash64(F.col(text)), F.col(text))
-    return kept.withColumn("__k", F.row_number().over(first)).where("__k = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0null"))
+    told = df.select(F.col(key).alias("__key"), *text_key(F.col(text).cast("string")), F.col(text).cast("string").alias("__text"))
+    rows = durable(with_fingerprints(told, "__text", words, seed).drop("__text"), "simhash-prints")
+    named = named_components(rows, **options)
+    # Of each component the rows with its key are left for the ranking: one, unless ids repeat.
+    first = Window.partitionBy("__root").orderBy("__t1", "__t2")
+    kept = rows.join(named, "__fp").where(F.col("__key").eqNullSafe(F.col("__component"))).withColumn("__k", F.row_number().over(first)).where("__k = 1")
+    kept = durable(kept.select("__t1", "__t2", name("__key").alias("__name")), "simhash-kept")
+    # Dealt by text and id, so copies don't meet in one task; a repeated row stays once.
+    on = ["__t1", "__t2", "__name"]
+    out = df.select("*", *text_key(F.col(text).cast("string")), name(key).alias("__name")).join(kept, on)
+    out = out.withColumn("__k", F.row_number().over(Window.partitionBy(*on).orderBy("__name"))).where("__k = 1")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
