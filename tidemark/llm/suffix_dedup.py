@@ -317,6 +317,7 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, gram
     matched = durable(_matched(_phrases(cand.where("open is not null"), length), length, group_rows), "matched")
     starts = matched.where("phrase is null").select("t1", "t2", "a", "b")
     over = matched.where("phrase is not null")
+    win = None
     if not over.isEmpty():
         win = durable(_windows(over, length), "windows")
         again = win.groupBy("w1", "w2").agg(F.sum("n").alias("m")).where("m > 1").select("w1", "w2")
@@ -334,7 +335,17 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, gram
             yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(spans, kind)], names=["__t1", "__t2", "text", "spans"])
 
     out = found.mapInArrow(run, "__t1 long, __t2 long, text string, spans array<struct<a:int,b:int>>")
-    return out.where(F.size("spans") > 0)
+    out = out.where(F.size("spans") > 0)
+    out._tidemark_temps = [t for t in (cand, matched, win) if t is not None]
+    return out
+
+
+def _settled(spans: DataFrame, run, schema: str) -> DataFrame:
+    """What run makes of the spans, as a durable table; the tables behind the spans go."""
+    cut = durable(spans.mapInArrow(run, schema), "cut")
+    for temp in spans._tidemark_temps:
+        release(temp)
+    return cut
 
 
 def _digest(text: str, spans: list[dict]) -> tuple[int, int, str]:
@@ -355,7 +366,7 @@ def dedup_digest(df: DataFrame, key: str = "doc_id", text: str = "text", length:
             got = [_digest(t, s) for t, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.string())], names=["__t1", "__t2", "r", "s", "h"])
 
-    cut = durable(repeated_spans(df, text, length, gram, group_rows).mapInArrow(run, "__t1 long, __t2 long, r long, s long, h string"), "cut")
+    cut = _settled(repeated_spans(df, text, length, gram, group_rows), run, "__t1 long, __t2 long, r long, s long, h string")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = df.select(F.col(key).alias("__key"), *text_key(F.col(text).cast("string")), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body.cast("binary"), 256).alias("__sha"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
@@ -386,7 +397,7 @@ def dedup(df: DataFrame, text: str = "text", length: int = LENGTH, gram: int = G
             got = [kept_text(t, s) for t, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(got, pa.string())], names=["__t1", "__t2", "__kept"])
 
-    cut = durable(repeated_spans(df, text, length, gram).mapInArrow(run, "__t1 long, __t2 long, __kept string"), "cut")
+    cut = _settled(repeated_spans(df, text, length, gram), run, "__t1 long, __t2 long, __kept string")
     rows = df.select("*", *text_key(F.col(text).cast("string"))).join(cut, ["__t1", "__t2"], "left")
     new = F.coalesce("__kept", F.col(text))
     size = [F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("__kept")).cast(df.schema["n_chars"].dataType).alias("n_chars")] if "n_chars" in df.columns and df.schema["n_chars"].dataType in (T.LongType(), T.IntegerType()) else []
