@@ -418,6 +418,34 @@ class Parser:
         self.need("FROM", "FILE")
         return {"table": table, "path": self.take("string").value}
 
+    def user(self):
+        name = self.name()
+        self.need("IDENTIFIED", "BY")
+        return {"name": name, "password": self.take("string").value}
+
+    def new_user(self):
+        out = self.user() | {"admin": False}
+        if self.word("ROLE"):
+            out["admin"] = self.word("ADMIN")
+            if not out["admin"]:
+                self.need("NORMAL")
+        return out
+
+    def privilege(self, link: str):
+        privilege = self.name().upper()
+        if privilege not in ("SELECT", "INSERT", "DDL", "ALL"):
+            raise self.error("expected SELECT, INSERT, DDL or ALL")
+        self.need("ON")
+        on = "*" if self.op("*") else self.name()
+        self.need(link)
+        return {"privilege": privilege, "on": on, "name": self.name()}
+
+    def granted(self):
+        return self.privilege("TO")
+
+    def revoked(self):
+        return self.privilege("FROM")
+
     def described(self):
         self.word("STABLE") or self.word("TABLE")
         return {"name": self.name()}
@@ -439,6 +467,11 @@ class Parser:
         (("CREATE", "DEVICE"), named),
         (("CREATE", "CONSUMER", "GROUP"), consumer_group),
         (("CREATE", "FUNCTION"), function),
+        (("CREATE", "USER"), new_user),
+        (("ALTER", "USER"), user),
+        (("DROP", "USER"), one_name),
+        (("GRANT",), granted),
+        (("REVOKE",), revoked),
         (("DROP", "CONSUMER", "GROUP"), one_name),
         (("DROP", "TABLE"), one_name),
         (("DROP", "PTABLE"), one_name),
@@ -462,7 +495,7 @@ class Parser:
     ]
 
 
-Parser.VERBS += [((verb, what), Parser.maybe_inside) for verb in ("LIST", "SHOW") for what in ("DATABASES", "GROUPS", "DEVICES", "TABLES", "STABLES", "VTABLES", "PTABLES", "FUNCTIONS", "CONSUMERS")]
+Parser.VERBS += [((verb, what), Parser.maybe_inside) for verb in ("LIST", "SHOW") for what in ("DATABASES", "GROUPS", "DEVICES", "TABLES", "STABLES", "VTABLES", "PTABLES", "FUNCTIONS", "CONSUMERS", "USERS")]
 
 
 def parse(text: str):

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import fnmatch
 import re
+import threading
 import uuid
 from collections.abc import Callable, Sequence
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +24,7 @@ from ..plans.lexer import QueryError, interval_nanos
 from ..plans.parser import parse
 from ..plans.promql import PromQL
 from . import line_protocol
+from .access import Access, kind, needs
 from .files import Files
 
 TYPES = {"TIMESTAMP": T.TimestampNTZType(), "INT64": T.LongType(), "FLOAT64": T.DoubleType(), "FLOAT32": T.FloatType(), "SYMBOL": T.StringType()}
@@ -34,8 +36,10 @@ CONSUMER_PARTITIONS = 4
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
+    def __init__(self, spark: SparkSession, root: str, audit: bool = False):
+        """With audit, every statement leaves a record that ``audit_log`` reads."""
+        self.spark, self.root, self.files, self.audit = spark, root.rstrip("/"), Files(spark), audit
+        self.access = Access(self.files, f"{self.root}/users.json")
         self.functions = FunctionRegistry(spark)
         self.views: dict[str, Source] = {}
         self.current: dict[str, str | None] = {"database": None, "group": None}
@@ -118,9 +122,59 @@ class Engine:
         return T.DoubleType() if kind == "FLOAT32" else TYPES[kind]
 
     # queries
-    def sql(self, text: str) -> DataFrame:
-        """Runs a statement. Queries and lists give rows, all others one row with what was done."""
-        s = parse(text)
+    def sql(self, text: str, user: str | None = None) -> DataFrame:
+        """Runs a statement. Queries and lists give rows, all others one row with what was done.
+
+        With a user's name, that user's privileges are checked; without, the program itself runs it.
+        """
+        s = None
+        try:
+            s = parse(text)
+            if user is not None:
+                self.access.check(user, s)
+            out = self._run(s)
+        except Exception:
+            self._record(s, user, False)
+            raise
+        self._record(s, user, True)
+        return out
+
+    def _record(self, s, user: str | None, ok: bool) -> None:
+        """One file a statement: stores need not append. Texts stay out, as they may hold passwords."""
+        if self.audit:
+            now = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
+            action = "" if s is None else "SELECT" if isinstance(s, a.Select) else s.verb.upper().replace("_", " ")
+            on = [] if s is None else needs(s)[1]
+            self.files.write_json(f"{self.root}/audit/{uuid.uuid4().hex}.json", {"at": now, "user": user or "", "event": kind(s), "action": action, "object": ", ".join(on), "ok": ok})
+
+    def audit_log(self) -> DataFrame:
+        """at, user, event, action, object, ok of every recorded statement."""
+        shape = "at timestamp_ntz, user string, event string, action string, object string, ok boolean"
+        path = f"{self.root}/audit"
+        return self.spark.read.schema(shape).option("multiLine", "true").json(path) if self.files.exists(path) else self.spark.createDataFrame([], shape)
+
+    def collect(self, text: str, seconds: float, user: str | None = None) -> list[Row]:
+        """Rows of a statement; its Spark jobs are cancelled after so many seconds and TimeoutError is raised."""
+        tag, late, context = f"tidemark-{uuid.uuid4().hex}", threading.Event(), self.spark.sparkContext
+
+        def stop() -> None:
+            late.set()
+            context.cancelJobsWithTag(tag)
+
+        timer = threading.Timer(seconds, stop)
+        context.addJobTag(tag)
+        timer.start()
+        try:
+            return self.sql(text, user).collect()
+        except Exception as e:
+            if late.is_set():
+                raise TimeoutError(f"not done in {seconds} s") from e
+            raise
+        finally:
+            timer.cancel()
+            context.removeJobTag(tag)
+
+    def _run(self, s) -> DataFrame:
         if isinstance(s, a.Select):
             out = Builder(self.table, self.functions).build(s)
             return out.drop(*[c for c in out.columns if c.startswith("_part_")])
@@ -311,6 +365,8 @@ class Engine:
     def _list(self, kind: str, args: dict) -> DataFrame:
         if kind == "functions":
             return self.spark.createDataFrame(self.functions.rows(), "name string, nargs int, ret_type string, source string")
+        if kind == "users":
+            return self.spark.createDataFrame(self.access.rows(), "name string, role string, grants string")
         if kind == "consumers":
             rows = [(n, c["topic"], m, p, c["offsets"][str(p)]) for n, c in sorted(self.catalog["consumers"].items()) for p in range(CONSUMER_PARTITIONS) for m in [self._owner(c, p)]]
             return self.spark.createDataFrame(rows, "name string, topic string, member string, partition int, committed long")
@@ -330,6 +386,22 @@ class Engine:
         tags = [(c, k, True, str(v)) for (c, k), v in zip(self.catalog["stables"][t["stable"]]["tags"], t["tags"], strict=True)] if t.get("stable") else []
         return self.spark.createDataFrame([(c, k, False, None) for c, k in self._shape(t)] + tags, out)
 
+    # users
+    def _create_user(self, name: str, password: str, admin: bool) -> None:
+        self.access.create(name, password, admin)
+
+    def _alter_user(self, name: str, password: str) -> None:
+        self.access.set_password(name, password)
+
+    def _drop_user(self, name: str) -> None:
+        self.access.drop(name)
+
+    def _grant(self, privilege: str, on: str, name: str) -> None:
+        self.access.grant(name, privilege, on)
+
+    def _revoke(self, privilege: str, on: str, name: str) -> None:
+        self.access.revoke(name, privilege, on)
+
     # functions
     def _create_function(self, name: str, args: list[str], returns: str, symbol: str, **rest) -> None:
         self.functions.create(name, args, returns, f"{rest['from']}:{symbol}")
