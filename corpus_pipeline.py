@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, packing, simhash, suffix_dedup, toxicity
+from tidemark.llm import decontaminate, near_copies, packing, suffix_dedup, toxicity
 from tidemark.llm._common import durable, release, table
 
 
@@ -14,8 +14,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of every SimHash component."""
-    return simhash.keep_one(docs)
+    """Keeps the document with the least doc_id of every component of near copies (Jaccard 0.8 over five words)."""
+    return near_copies.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

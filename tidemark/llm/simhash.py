@@ -232,7 +232,11 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 def named_components(rows: DataFrame, distance: int = DISTANCE, cell_rows: int = CELL_ROWS) -> DataFrame:
     """__fp, __root, __component of every fingerprint of rows (__key, __fp)."""
     prints = rows.groupBy("__fp").agg(F.min("__key").alias("__least"))
-    root = components(links(prints.select(F.col("__fp").alias("fp")), distance, cell_rows))
+    return named_by(prints, components(links(prints.select(F.col("__fp").alias("fp")), distance, cell_rows)))
+
+
+def named_by(prints: DataFrame, root: DataFrame) -> DataFrame:
+    """__fp, __root, __component of prints (__fp, __least) by the components (node, root)."""
     named = prints.join(root.select(F.col("node").alias("__fp"), F.col("root").alias("__r")), "__fp", "left").withColumn("__root", F.coalesce("__r", "__fp"))
     # One row a component, then back to its fingerprints: both sides hold distinct fingerprints only.
     named = durable(named.select("__fp", "__root", "__least"), "simhash-classes")
@@ -249,10 +253,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", **op
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, seed: int = SEED, **options) -> DataFrame:
     """The rows of df without near duplicates: of each component the row with the least key stays."""
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0null"))
     told = df.select(F.col(key).alias("__key"), *text_key(F.col(text).cast("string")), F.col(text).cast("string").alias("__text"))
     rows = durable(with_fingerprints(told, "__text", words, seed).drop("__text"), "simhash-prints")
-    named = named_components(rows, **options)
+    return keep_least(df, rows, named_components(rows, **options), key, text)
+
+
+def keep_least(df: DataFrame, rows: DataFrame, named: DataFrame, key: str, text: str) -> DataFrame:
+    """Of each component of named the row of df with the least key; rows has __key, __t1, __t2, __fp of every row."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0null"))
     # Of each component the rows with its key are left for the ranking: one, unless ids repeat.
     first = Window.partitionBy("__root").orderBy("__t1", "__t2")
     kept = rows.join(named, "__fp").where(F.col("__key").eqNullSafe(F.col("__component"))).withColumn("__k", F.row_number().over(first)).where("__k = 1")
