@@ -12,7 +12,9 @@ return at most k rows a query and block, and those that can't reach the floor re
 
 Defined results: vectors that are null, or hold null, NaN or infinite components, take no part, nor do rows with a
 null id. Components beyond a vector's length count as zero. A row with the query's own id is never its
-candidate. Ties go to the smaller id; a repeated row of another id keeps its place in the ranking.
+candidate. Ties go to the smaller id; a repeated row of another id keeps its place in the ranking. Rows that share a
+query id are ranked together, as in the SQL: the candidates of all of them under one id, each as often as its query row
+occurs. Equal rows are searched once, with their number; places past k are never made, so hot rows cost nothing.
 """
 
 from __future__ import annotations
@@ -91,7 +93,7 @@ class Block:
 
 def _scan(rows: DataFrame, held, k: int, width: int, block_rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, queries, floors = held.value
+        qids, queries, times, floors = held.value
         ids: list[np.ndarray] = []
         vectors: list[np.ndarray] = []
 
@@ -100,6 +102,7 @@ def _scan(rows: DataFrame, held, k: int, width: int, block_rows: int) -> DataFra
             out: list[tuple] = []
             for i in range(len(qids)):
                 got, score = block.search(qids[i], queries[i], k, floors[i])
+                got, score = np.repeat(got, times[i])[:k], np.repeat(score, times[i])[:k]
                 if len(got):
                     floors[i] = max(floors[i], score[-1]) if len(got) == k else floors[i]
                     out.append((np.full(len(got), qids[i]), got, score))
@@ -120,7 +123,7 @@ def _scan(rows: DataFrame, held, k: int, width: int, block_rows: int) -> DataFra
         if ids:
             yield from flush()
 
-    return rows.select("vec_id", "q").mapInArrow(run, "query_id long, vec_id long, score long")
+    return rows.select("vec_id", "q", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))).select("vec_id", "q").mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -133,29 +136,30 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vec
     """query_id, rank, vec_id, score for every row where is_query holds, against all other rows."""
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("vec_id"), quantised(F.col(vector), scale).alias("q"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = durable(rows.where("q is not null and vec_id is not null"), "vectors")
-    n, asking, width = rows.agg(F.count(F.lit(1)), F.count_if("asks"), F.max(F.size("q"))).first()
+    # Of equal rows no more than k can have a place, as candidates or as queries.
+    rows = rows.where("q is not null and vec_id is not null").groupBy("vec_id", "q").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("n"), F.least(F.count_if("asks"), F.lit(k)).alias("asks"))
+    rows = durable(rows, "vectors")
+    n, asking, width = rows.agg(F.sum("n"), F.count_if(F.col("asks") > 0), F.max(F.size("q"))).first()
+    n = n or 0
     parts, out = max(1, -(-asking // query_rows)), None
     for part in range(parts):
-        mine = rows.where(F.col("asks") & (F.pmod(F.xxhash64("vec_id", "q"), F.lit(parts)) == part))
-        got = mine.select("vec_id", "q").limit(4 * query_rows).toArrow()  # about query_rows of them
+        mine = rows.where((F.col("asks") > 0) & (F.pmod(F.xxhash64("vec_id", "q"), F.lit(parts)) == part))
+        got = mine.select("vec_id", "q", "asks").toArrow()  # distinct, so about query_rows of them
         if not got.num_rows:
             continue
-        if got.num_rows == 4 * query_rows:
-            raise ValueError("too many equal queries for one broadcast; raise query_rows")
         got = got.combine_chunks()
         column = got.column(1).chunk(0)
-        qids, queries = got.column(0).to_numpy(), _matrix(column, width)
+        qids, queries, times = got.column(0).to_numpy(), _matrix(column, width), got.column(2).to_numpy()
         none = np.full(len(qids), -np.inf)
         floors = none
         if n > 4 * floor_rows:
             # Any rows give a floor that holds; these are the first of a hash order, at most floor_rows or so.
             some = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(part)), F.lit(max(1, n // floor_rows))) == 0)
-            low = _ranked(_scan(some.coalesce(1), spark.sparkContext.broadcast((qids, queries, none)), k, width, block_rows), k)
+            low = _ranked(_scan(some.coalesce(1), spark.sparkContext.broadcast((qids, queries, times, none)), k, width, block_rows), k)
             low = low.groupBy("query_id").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("c")).where(F.col("c") == k).select("query_id", "low").toArrow()
             at = dict(zip(low.column(0).to_pylist(), low.column(1).to_pylist(), strict=True))
             floors = np.array([at.get(i, -np.inf) for i in qids.tolist()], np.float64)
-        found = _scan(rows.repartition(max(1, -(-n // block_rows)), F.xxhash64("vec_id", "q")), spark.sparkContext.broadcast((qids, queries, floors)), k, width, block_rows)
+        found = _scan(rows.repartition(max(1, -(-n // block_rows)), F.xxhash64("vec_id", "q")), spark.sparkContext.broadcast((qids, queries, times, floors)), k, width, block_rows)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], "query_id long, vec_id long, score long")
