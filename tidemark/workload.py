@@ -122,6 +122,7 @@ def _registry(spark: SparkSession) -> FunctionRegistry:
 
 add("a12_u4_aggregate_of_udf", lambda s, d: qtl(s, d, "SELECT event_type, sum(mixed(value, user_id)) AS s FROM events GROUP BY event_type", _registry(s)), "SELECT event_type, round(sum(value + 10 * user_id), 6) AS s FROM events GROUP BY 1")
 add("u1_u3_scalar_udf", lambda s, d: qtl(s, d, "SELECT event_id, doubled(value) AS v FROM events WHERE user_id < 20", _registry(s)), "SELECT event_id, round(value * 2, 6) AS v FROM events WHERE user_id < 20")
+add("u1_u3_scalar_udf_whole_table", lambda s, d: qtl(s, d, "SELECT event_id, doubled(value) AS v FROM events", _registry(s)), "SELECT event_id, round(value * 2, 6) AS v FROM events")
 add("a14_distinct_counts", lambda s, d: aggregate(load(s, d, "events"), [Agg("count_distinct", "user_id", "users"), Agg("count", None, "n")], ["event_type"]), "SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS n FROM events GROUP BY 1")
 add("a14_cube", lambda s, d: load(s, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q")),
     "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 6) AS q FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
@@ -229,6 +230,9 @@ add("j1_asof_no_key", lambda s, d: ops.asof_join(*_sides(s, d), "ts", "ts", (),
 add("j1c_asof_ties", "SELECT l_orderkey, l_linenumber, o_orderkey FROM lineitem ASOF JOIN orders WHERE l_quantity > 45",
     """WITH o AS (SELECT o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1)
     SELECT l_orderkey, l_linenumber, o_orderkey FROM (SELECT * FROM lineitem WHERE l_quantity > 45) l ASOF LEFT JOIN o ON l.l_shipdate >= o.o_orderdate""")
+add("j1c_asof_ties_whole_table", "SELECT l_orderkey, l_linenumber, o_orderkey FROM lineitem ASOF JOIN orders",
+    """WITH o AS (SELECT o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1)
+    SELECT l_orderkey, l_linenumber, o_orderkey FROM lineitem l ASOF LEFT JOIN o ON l.l_shipdate >= o.o_orderdate""")
 add("j3_joins", lambda s, d: load(s, d, "orders").join(load(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("s")),
     "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 6) AS s FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 
