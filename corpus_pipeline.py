@@ -19,8 +19,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 400 bytes and more that occur elsewhere."""
-    return suffix_dedup.dedup(docs)
+    """Cuts passages of 250 bytes and more (about 40 words) that occur elsewhere, in every place."""
+    return suffix_dedup.dedup(docs, length=suffix_dedup.PASSAGE)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ def test_stages(spark, sf):
             assert out.count() == simhash.near_duplicates(at).select("component_id").distinct().count()
         if name == "suffix_dedup":
             assert out.count() == at.count()
-            want = {r.doc_id: r.n_bytes - r.n_removed for r in suffix_dedup.dedup_digest(at).collect()}
+            want = {r.doc_id: r.n_bytes - r.n_removed for r in suffix_dedup.dedup_digest(at, length=suffix_dedup.PASSAGE).collect()}
             assert all(0 <= len(r.text.encode()) - want[r.doc_id] <= 400 for r in out.collect())
         if name == "decontaminate":
             bad = decontaminate.contamination(at, spark.read.parquet(f"{sf}/benchmark.parquet")).where("contaminated")

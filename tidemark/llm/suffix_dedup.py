@@ -35,7 +35,8 @@ from pyspark.sql import types as T
 
 from ._common import durable, release, small_batches, table, text_key
 
-LENGTH, GRAM, GROUP_ROWS = 400, 100, 10_000
+LENGTH, GROUP_ROWS = 400, 10_000
+PASSAGE = 250  # bytes; 51 words of prose have more
 CHUNK = 1 << 18  # bytes parsed at once
 
 _rng = np.random.default_rng(20240229)
@@ -291,8 +292,9 @@ def merged(whole: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
+def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, gram: int | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Per distinct text with repeated bytes: __t1, __t2 (its key), text, spans (array of struct<a int, b int>, byte runs)."""
+    gram = length // 4 if gram is None else gram
     if not 0 < gram < length:
         raise ValueError("gram must be shorter than length")
     small_batches(df.sparkSession)
@@ -358,7 +360,7 @@ def _digest(text: str, spans: list[dict]) -> tuple[int, int, str]:
     return removed, len(spans), kept.hexdigest()
 
 
-def dedup_digest(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
+def dedup_digest(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Per row: the key, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,7 +391,7 @@ def kept_text(text: str, spans: list[dict]) -> str:
     return b"".join(out).decode()
 
 
-def dedup(df: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def dedup(df: DataFrame, text: str = "text", length: int = LENGTH, gram: int | None = None) -> DataFrame:
     """df with repeated passages cut from the text (whole characters); n_chars, where there, follows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
