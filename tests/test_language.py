@@ -9,7 +9,7 @@ from tidemark.plans.builder import Builder, Source
 from tidemark.plans.lexer import QueryError, interval_nanos, tokens
 from tidemark.plans.parser import parse
 from tidemark.plans.promql import PromQL, selector
-from tidemark.workload import qtl
+from tidemark.workload import select
 
 T0 = dt.datetime(2026, 1, 1)
 
@@ -111,4 +111,4 @@ def test_promql_errors(spark, sf):
 
 def test_unknown_table(spark, sf):
     with pytest.raises(ValueError):
-        qtl(spark, sf, "SELECT a FROM nowhere")
+        select(spark, sf, "SELECT a FROM nowhere")

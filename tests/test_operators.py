@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import tidemark.operators as ops
+from tidemark import order
 from tidemark.functions.aggregates import Agg, aggregate
+from tidemark.functions.percentiles import exact_percentiles
 from tidemark.operators import stable
 
 T0 = dt.datetime(2024, 3, 1)
@@ -166,3 +168,69 @@ def test_plans_stay_narrow(spark, sf):
     assert "GreaterThan(value,100.0)" in plan and "props" not in plan and plan.count("Exchange") == 1
     keyed = ops.asof_join(e.where("event_type = 'click'"), e.where("event_type = 'view'"), "ts", "ts", ["user_id"])._jdf.queryExecution().executedPlan().toString()
     assert keyed.count("Exchange") == 1 and "Join" not in keyed
+
+
+def _keyed(spark, n=1800):
+    """A hot key with two thirds of the rows, many small ones, null keys, ties and a gap."""
+    r = random.Random(11)
+    rows = []
+    for i in range(n):
+        k = "hot" if r.random() < 0.66 else r.choice(["a", "b", "c", None])
+        rows.append((T0 + dt.timedelta(seconds=r.randint(0, n) * 7 + (9000 if i % 2 else 0)), i, k, float(r.randint(0, 60)), r.choice("xyz")))
+    return spark.createDataFrame(rows, "ts timestamp_ntz, id long, k string, v double, s string")
+
+
+def _all_windows(df, keys):
+    agg = [Agg("count", None, "n"), Agg("sum", "v", "t"), Agg("twa", "v", "w")]
+    yield "session", ops.session(df, "ts", "30s", agg, keys, ["id"])
+    yield "state", ops.state_window(df, "ts", "s", agg, keys, ["id"])
+    yield "event", ops.event_window(df, "ts", F.col("v") > 50, F.col("v") < 5, agg, keys, ["id"])
+    yield "lag", ops.lag(df, "ts", "v", 5, "x", keys, ["id"])
+    yield "mavg", ops.mavg(df, "ts", "v", 4, "x", keys, ["id"])
+    yield "csum", ops.csum(df, "ts", "v", "x", keys, ["id"])
+    yield "interp", ops.interp(df, "ts", "v", "20s", keys=keys, tie=["id"])
+    left, right = df.where("id % 3 = 0").select("ts", "id", "k"), df.where("id % 3 <> 0").select("ts", "id", "k", "v")
+    yield "asof", ops.asof_join(left, right, "ts", "ts", keys, ["id"])
+
+
+@pytest.mark.parametrize("keys,rows", [([], 25), (["k"], 700)])
+def test_blocks_by_rows_change_nothing(spark, keys, rows):
+    """Series cut by size (over 64 blocks at 25 rows each), of keyed ones the hot ones only, against whole series."""
+    df = _keyed(spark)
+    spark.conf.set("spark.tidemark.blocks", "1")
+    want = {n: sorted(map(str, map(rounded, d.collect()))) for n, d in _all_windows(df, keys)}
+    spark.conf.unset("spark.tidemark.blocks")
+    spark.conf.set("spark.tidemark.blockBytes", "0")
+    spark.conf.set("spark.tidemark.blockRows", str(rows))
+    try:
+        cut, cuts = order.with_blocks(df, "ts", keys)
+        assert (len(cuts) > 64) == (rows == 25)
+        if keys and rows == 700:
+            assert {r.k for r in cut.where(F.col(order.BLOCK) != order.WHOLE).select("k").distinct().collect()} == {"hot"}
+        for n, d in _all_windows(df, keys):
+            assert sorted(map(str, map(rounded, d.collect()))) == want[n], n
+    finally:
+        spark.conf.unset("spark.tidemark.blockBytes")
+        spark.conf.unset("spark.tidemark.blockRows")
+
+
+def rounded(row):
+    return tuple(round(x, 6) if isinstance(x, float) else x for x in row)
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_percentiles_without_value_maps(spark, keys):
+    r = random.Random(2)
+    rows = [(r.choice(["a", "b", None]), r.choice([1.0, 2.5, r.random() * 1000, r.random()])) for _ in range(5000)] + [("one", 4.0), ("two", 1.0), ("two", 2.0), ("none", None), ("ties", 7.0), ("ties", 7.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    aggs = [Agg("p50", "v", "a"), Agg("p99", "v", "b"), Agg("percentile", "v", "c", 0.25), Agg("percentile", "v", "lo", 0.0), Agg("percentile", "v", "hi", 1.0), Agg("count", "v", "n")]
+    want = sorted(map(str, map(rounded, aggregate(df, aggs, keys).collect())))
+    spark.conf.set("spark.tidemark.percentileBytes", "-1")
+    try:
+        assert sorted(map(str, map(rounded, aggregate(df, aggs, keys).collect()))) == want
+    finally:
+        spark.conf.unset("spark.tidemark.percentileBytes")
+    for accuracy in (5, 60):  # coarse sketches give wide brackets, never other results
+        got = exact_percentiles(df, F.col("v"), {"a": 0.5, "b": 0.99}, keys, accuracy)
+        exact = aggregate(df.where("v is not null"), aggs[:2], keys)
+        assert sorted(map(str, map(rounded, got.collect()))) == sorted(map(str, map(rounded, exact.collect())))

@@ -14,7 +14,7 @@ from ..shipping import ship
 
 TYPES = {"TIMESTAMP": "timestamp_ntz", "INT64": "long", "FLOAT64": "double"}
 MAX_ARGS = 8
-BUILT_IN = {"count", "sum", "avg", "min", "max", "spread", "p50", "p90", "p99", "percentile", "stddev", "first", "last", "last_row", "twa", "diff", "derivative", "csum", "mavg", "lag", "interp", "time_bucket"}
+BUILT_IN = {"count", "sum", "avg", "min", "max", "spread", "p50", "p90", "p99", "percentile", "approx_percentile", "stddev", "first", "last", "last_row", "twa", "diff", "derivative", "csum", "mavg", "lag", "interp", "time_bucket"}
 
 
 class FunctionRegistry:

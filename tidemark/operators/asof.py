@@ -14,9 +14,8 @@ def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, on
     """All left columns and the right columns, prefixed where the name is taken. Unmatched right columns are null.
 
     Both sides are sorted once as one stream, right rows first at equal times, so the match is inclusive and
-    costs one exchange. Among right rows of one instant the tie columns decide, the last wins. With blocks (the
-    default without keys, and the way to split a hot key) each key's last right row is carried over from
-    earlier blocks.
+    costs one exchange. Among right rows of one instant the tie columns decide, the last wins. Where a series is cut
+    into blocks (see ``order``) its last right row is carried over from earlier blocks.
     """
     pairs = [(k, k) if isinstance(k, str) else k for k in on]
     keys = [f"__k{i}" for i in range(len(pairs))]
@@ -31,7 +30,7 @@ def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, on
     w = Window.partitionBy(*keys, order.BLOCK).orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
     rows = cut.withColumn("__m", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
     if cuts:
-        ends = cut.where("__side = 0").groupBy(*keys, order.BLOCK).agg(F.max_by("__r", F.struct("__t", "__tie")).alias("__c"))
+        ends = cut.where((F.col("__side") == 0) & (F.col(order.BLOCK) != order.WHOLE)).groupBy(*keys, order.BLOCK).agg(F.max_by("__r", F.struct("__t", "__tie")).alias("__c"))
         following = F.lead(order.BLOCK).over(Window.partitionBy(*keys).orderBy(order.BLOCK))
         ends = ends.withColumn("__to", F.coalesce(following, F.lit(len(cuts)))).where(F.col(order.BLOCK) < F.col("__to"))
         ends = ends.withColumn("__b", F.explode(F.sequence(F.col(order.BLOCK) + 1, F.col("__to")))).select(*[F.col(k).alias(f"{k}r") for k in keys], "__b", "__c")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import Agg, aggregate
+from ..order import planned_bytes
 
 
 def with_tags(rows: DataFrame, tags: DataFrame, child: str = "tbname", where: Column | None = None, most_bytes: int = 64 << 20) -> DataFrame:
@@ -16,8 +17,7 @@ def with_tags(rows: DataFrame, tags: DataFrame, child: str = "tbname", where: Co
     The dimension is broadcast only if its planned size is within most_bytes.
     """
     chosen = tags if where is None else tags.where(where)
-    size = int(str(chosen._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.join(F.broadcast(chosen) if size <= most_bytes else chosen, child)
+    return rows.join(F.broadcast(chosen) if planned_bytes(chosen) <= most_bytes else chosen, child)
 
 
 def union_children(children: dict[str, DataFrame], tags: dict[str, dict[str, object]], child: str = "tbname") -> DataFrame:

@@ -1,8 +1,10 @@
 """Ordered work in time, with or without keys, without one task for a whole series.
 
-A series is cut into ``blocks`` of time at quantiles of its timestamps. Windows run inside (keys, block);
-what a block needs from its neighbours comes as a few ghost rows (the last rows before it, the first after it) or as an
-offset from per-block totals. With keys and one block this is a plain keyed window.
+A series of more than BLOCK_ROWS rows is cut into blocks of time at quantiles of its timestamps, as many as its rows ask
+for. Windows run inside (keys, block); what a block needs from its neighbours comes as a few ghost rows (the last rows
+before it, the first after it) or as an offset from per-block totals. Of keyed series only the hot ones, those with
+more rows than that, are cut; all others are one block, a plain keyed window. Input whose planned size is under
+BLOCK_BYTES is not counted at all and stays whole.
 """
 
 from __future__ import annotations
@@ -13,6 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK, GHOST = "__block", "__ghost"
+#: The block of rows whose key is not cut.
+WHOLE = -1
+BLOCK_BYTES, BLOCK_ROWS, MOST_BLOCKS = 64 << 20, 2_000_000, 1 << 16
+#: Cuts compared at once on the way down to a block.
+FANOUT = 64
 
 
 def micros(ts: Column | str) -> Column:
@@ -20,25 +27,84 @@ def micros(ts: Column | str) -> Column:
     return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
 
 
-def default_blocks(df: DataFrame, keys: Sequence[str]) -> int:
-    """One block for keyed series, several for a series without keys; ``spark.tidemark.blocks`` overrides both."""
-    own = df.sparkSession.conf.get("spark.tidemark.blocks", None)
-    return int(own) if own else 1 if keys else min(64, max(2, df.sparkSession.sparkContext.defaultParallelism))
+def planned_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of the size of df."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _conf(df: DataFrame, name: str, default: int) -> int:
+    return int(df.sparkSession.conf.get(f"spark.tidemark.{name}", str(default)))
+
 
+def _quantiles(df: DataFrame, ts: str, parts: int) -> list[int]:
+    at = [i / parts for i in range(1, parts)]
+    found = df.select(F.percentile_approx(micros(ts), F.array(*map(F.lit, at)), F.lit(max(1000, 8 * parts))).alias("q")).first()[0]
+    return sorted(set(found or []))
 
-def with_blocks(df: DataFrame, ts: str, keys: Sequence[str] = (), blocks: int | None = None, cuts: list | None = None) -> tuple[DataFrame, list]:
-    """df with its block number, and the cuts (timestamps that begin a block). Equal timestamps share a block."""
-    blocks = blocks or default_blocks(df, keys)
-    if cuts is None:
-        cuts = []
-        if blocks > 1:
-            at = [i / blocks for i in range(1, blocks)]
-            found = df.select(F.percentile_approx(micros(ts), F.array(*map(F.lit, at)), F.lit(1000)).alias("q")).first()[0]
-            cuts = sorted(set(found or []))
-    number = F.lit(0)
-    for c in cuts:
-        number = number + (micros(ts) >= F.lit(int(c))).cast("int")
-    return df.withColumn(BLOCK, F.coalesce(number, F.lit(0)) if cuts else F.lit(0)), cuts
+
+def _cuts(df: DataFrame, ts: str, keys: Sequence[str], blocks: int | None) -> tuple[list[int], DataFrame | None]:
+    """The cuts, and the keys that they are for where these are not all."""
+    own = df.sparkSession.conf.get("spark.tidemark.blocks", None)
+    blocks = blocks or (int(own) if own else None)
+    if blocks:
+        return _quantiles(df, ts, blocks) if blocks > 1 else [], None
+    if planned_bytes(df) <= _conf(df, "blockBytes", BLOCK_BYTES):
+        return [], None
+    most = _conf(df, "blockRows", BLOCK_ROWS)
+    if not keys:
+        parts = min(MOST_BLOCKS, -(-df.count() // most))
+        return _quantiles(df, ts, parts) if parts > 1 else [], None
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most)
+    largest = counts.agg(F.max("__n")).first()[0]
+    if not largest:
+        return [], None
+    hot = counts.select(*[F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)])  # at most rows / blockRows of them
+    cuts = _quantiles(df.join(hot, _same(keys, hot.columns), "left_semi"), ts, min(MOST_BLOCKS, -(-largest // most)))
+    return cuts, hot
+
+
+def _same(keys: Sequence[str], others: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for k, o in zip(keys, others, strict=True):
+        out = out & F.col(k).eqNullSafe(F.col(o))
+    return out
+
+
+def _number(t: Column, cuts: Sequence[int]) -> Column:
+    """How many of the sorted cuts are at or before t, by a search with FANOUT ways a level."""
+    if len(cuts) < FANOUT:
+        out = F.lit(0)
+        for c in cuts:
+            out = out + (t >= F.lit(int(c))).cast("int")
+        return out
+    step = FANOUT
+    while step * FANOUT <= len(cuts):
+        step *= FANOUT
+    out = F.size(F.filter(F.lit([int(c) for c in cuts[step - 1 :: step]]), lambda c: c <= t)) * step
+    held = F.lit([int(c) for c in cuts])
+    while step > 1:
+        step //= FANOUT
+        # Every step-th of the next cuts: those after the ones already passed.
+        nodes = F.lit([int(c) for c in cuts[step - 1 :: step]]) if step > 1 else held
+        out = out + F.size(F.filter(F.slice(nodes, F.call_function("div", out, F.lit(step)).cast("int") + 1, FANOUT - 1), lambda c: c <= t)) * step
+    return out
+
+
+def with_blocks(df: DataFrame, ts: str, keys: Sequence[str] = (), blocks: int | None = None) -> tuple[DataFrame, list]:
+    """df with its block number, and the cuts (timestamps that begin a block). Equal timestamps share a block.
+
+    ``blocks``, or else ``spark.tidemark.blocks``, cuts every series into that many; 1 cuts none.
+    """
+    cuts, hot = _cuts(df, ts, keys, blocks)
+    if not cuts:
+        return df.withColumn(BLOCK, F.lit(0)), []
+    number = F.coalesce(_number(micros(ts), cuts), F.lit(0))
+    if hot is None:
+        return df.withColumn(BLOCK, number), cuts
+    marked = hot.withColumn("__hot", F.lit(True))
+    small = planned_bytes(df) // (_conf(df, "blockRows", BLOCK_ROWS) * 8) <= BLOCK_BYTES  # rows of at least 8 bytes
+    out = df.join(F.broadcast(marked) if small else marked, _same(keys, hot.columns), "left")
+    return out.withColumn(BLOCK, F.when(F.col("__hot"), number).otherwise(F.lit(WHOLE))).drop("__hot", *hot.columns), cuts
 
 
 def ordering(ts: str, tie: Sequence[str] = (), descending: bool = False) -> list[Column]:
@@ -60,11 +126,13 @@ def with_ghosts(df: DataFrame, ts: str, keys: Sequence[str], tie: Sequence[str],
             continue
         rank = Window.partitionBy(*keys, BLOCK).orderBy(*ordering(ts, tie, down))
         edge = df.withColumn("__r", F.row_number().over(rank)).where(F.col("__r") <= n)
-        to = F.sequence(F.col(BLOCK) + 1, F.lit(top)) if down else F.sequence(F.lit(0), F.col(BLOCK) - 1)
-        edge = edge.where(F.col(BLOCK) < top if down else F.col(BLOCK) > 0).withColumn("__to", F.explode(to))
-        near = Window.partitionBy(*keys, "__to").orderBy(F.col(BLOCK).desc() if down else F.col(BLOCK), "__r")
-        edge = edge.withColumn("__n", F.row_number().over(near)).where(F.col("__n") <= n)
-        ghosts = edge.withColumn(BLOCK, F.col("__to")).drop("__r", "__to", "__n").withColumn(GHOST, F.lit(True))
+        edge = edge.where((F.col(BLOCK) < top) & (F.col(BLOCK) != WHOLE) if down else F.col(BLOCK) > 0)
+        # A row serves the blocks up to that of the n-th edge row beyond it, so every block gets n rows and no more are made.
+        beyond = F.lead(BLOCK, n).over(Window.partitionBy(*keys).orderBy(F.col(BLOCK) if down else F.col(BLOCK).desc(), F.col("__r").desc()))
+        edge = edge.withColumn("__l", beyond)
+        to = F.sequence(F.col(BLOCK) + 1, F.coalesce("__l", F.lit(top))) if down else F.sequence(F.coalesce("__l", F.lit(0)), F.col(BLOCK) - 1)
+        edge = edge.withColumn("__to", F.explode(to))
+        ghosts = edge.withColumn(BLOCK, F.col("__to")).drop("__r", "__l", "__to").withColumn(GHOST, F.lit(True))
         own = own.unionByName(ghosts.select(own.columns))
     return own
 
@@ -77,7 +145,7 @@ def running_total(df: DataFrame, value: Column, to: str, ts: str, keys: Sequence
     if cuts:
         totals = out.groupBy(*keys, BLOCK).agg(F.sum("__v").alias("__t"))
         earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.withColumn("__o", F.sum("__t").over(earlier)).drop("__t")
+        offsets = totals.withColumn("__o", F.sum("__t").over(earlier)).drop("__t").where("__o is not null")
         offsets = offsets.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(BLOCK).alias("__b"), "__o")
         same = F.col(BLOCK) == F.col("__b")
         for i, k in enumerate(keys):

@@ -18,7 +18,7 @@ from ..operators import rows as row_ops
 from . import ast as a
 from .lexer import QueryError
 
-AGGREGATES = {"count", "sum", "avg", "min", "max", "spread", "p50", "p90", "p99", "percentile", "stddev", "first", "last", "last_row", "twa"}
+AGGREGATES = {"count", "sum", "avg", "min", "max", "spread", "p50", "p90", "p99", "percentile", "approx_percentile", "stddev", "first", "last", "last_row", "twa"}
 ROW_FUNCTIONS = {"diff", "derivative", "csum", "mavg", "lag"}
 _INSTANT = re.compile(r"\d{4}-\d\d-\d\d(?:[ T]\d\d:\d\d:\d\d(?:\.\d{1,9})?)?.*")
 
@@ -136,18 +136,19 @@ class Builder:
         if call.fn == "count" and (not args or isinstance(args[0], a.Star)):
             return Agg("count", None, alias)
         q = None
-        if call.fn == "percentile":
+        if call.fn in ("percentile", "approx_percentile"):
             if len(args) != 2 or not isinstance(args[1], a.Literal):
-                raise QueryError("percentile(column, quantile)")
+                raise QueryError(f"{call.fn}(column, quantile)")
             q = float(args[1].value)
         elif len(args) != 1:
             raise QueryError(f"{call.fn} takes one argument")
         if isinstance(args[0], a.Literal):
             raise QueryError(f"{call.fn} needs a column")
         kind = self._kind(df, args[0])
-        if call.fn in ("sum", "avg", "spread", "stddev", "twa", "percentile", "p50", "p90", "p99") and kind is not None and not isinstance(kind, T.NumericType):
+        if call.fn in ("sum", "avg", "spread", "stddev", "twa", "percentile", "approx_percentile", "p50", "p90", "p99") and kind is not None and not isinstance(kind, T.NumericType):
             raise QueryError(f"{call.fn} needs numbers, {args[0].name} is {kind.simpleString()}")
-        return Agg(call.fn, self.expr(df, args[0]), alias, q)
+        approx = call.fn == "approx_percentile"
+        return Agg("percentile" if approx else call.fn, self.expr(df, args[0]), alias, q, approx)
 
     def _after(self, e, made: dict, df: DataFrame, keys: dict):
         """An expression over aggregates: calls are replaced by their columns."""

@@ -95,7 +95,7 @@ class PromQL:
             if s.width is None:
                 raise QueryError(f"{m[1]} needs a range")
             if m[1] in ("rate", "irate"):
-                out = ops.derivative(rows, ts, "value", "rate", labels, blocks=1)
+                out = ops.derivative(rows, ts, "value", "rate", labels)
                 return out.select(ts, *labels, F.col("rate").alias("value")).where("value is not null"), labels
             if m[1] in OVER_TIME:
                 out = ops.sample_by(rows, ts, s.width, [Agg(OVER_TIME[m[1]], "value", "value")], labels, bucket="ts")

@@ -1,6 +1,7 @@
 """The engine: a catalog of time-series tables and the statements that work on them.
 
-Tables are Parquet folders partitioned by day or hour of their time column. The catalog is one JSON file.
+Tables are Parquet folders partitioned by day or hour of their time column. The catalog is a JSON file that gets a new
+version with every change; a change that another engine has overtaken is refused, never written over.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]{0,62}")
 GROUP_PROPS = ("region", "retention", "profile", "replica")
 DEVICE_PROPS = ("type", "location", "status")
 CONSUMER_PARTITIONS = 4
+TAG_BYTES = 64 << 20  # of tags that are broadcast
 
 
 class Engine:
@@ -43,12 +45,20 @@ class Engine:
         self.functions = FunctionRegistry(spark)
         self.views: dict[str, Source] = {}
         self.current: dict[str, str | None] = {"database": None, "group": None}
-        empty = {"databases": {}, "groups": {}, "devices": {}, "tables": {}, "stables": {}, "consumers": {}}
-        self.catalog = empty | self.files.read_json(f"{self.root}/catalog.json", {})
+        self.refresh()
 
     # catalog
+    def refresh(self) -> None:
+        """Takes the newest catalog; statements that change it do so first."""
+        empty = {"databases": {}, "groups": {}, "devices": {}, "tables": {}, "stables": {}, "consumers": {}}
+        self.version, held = self.files.read_latest(f"{self.root}/catalog.json", {})
+        self.catalog = empty | held
+
     def _save(self) -> None:
-        self.files.write_json(f"{self.root}/catalog.json", self.catalog)
+        if not self.files.write_next(f"{self.root}/catalog.json", self.version, self.catalog):
+            self.refresh()
+            raise QueryError("another engine has changed the catalog; run the statement again")
+        self.version += 1
 
     def _entry(self, kind: str, name: str) -> dict:
         if name not in self.catalog[kind]:
@@ -114,7 +124,8 @@ class Engine:
             files = self.spark.read.schema(T.StructType(shape.fields[:-1])).option("recursiveFileLookup", "true").parquet(*paths)
             at = F.col("_metadata.file_path")
             rows = files.withColumns({"_part_day": F.regexp_extract(at, r"_part_day=(\d+)", 1), "tbname": F.regexp_extract(at, r"/data/([^/]+)/_part_day=[^/]+/[^/]+$", 1)})
-        out = self._doubled(rows).join(F.broadcast(tags) if len(children) <= 100_000 else tags, F.col("tbname") == F.col("__child")).drop("__child")
+        size = sum(len(n) + sum(len(str(v)) for v in t["tags"]) + 16 * (1 + len(t["tags"])) for n, t in children.items())
+        out = self._doubled(rows).join(F.broadcast(tags) if size <= TAG_BYTES else tags, F.col("tbname") == F.col("__child")).drop("__child")
         return Source(out, s["ts"], (), "_part_day")
 
     @staticmethod
@@ -178,6 +189,7 @@ class Engine:
         if isinstance(s, a.Select):
             out = Builder(self.table, self.functions).build(s)
             return out.drop(*[c for c in out.columns if c.startswith("_part_")])
+        self.refresh()
         done = getattr(self, f"_{s.verb}", None)
         if done is None and s.verb.split("_")[0] in ("list", "show"):
             return self._list(s.verb.split("_", 1)[1], s.args)
@@ -246,7 +258,8 @@ class Engine:
 
     def load_csv(self, table: str, path: str, header: bool = False) -> int:
         """Rows of CSV files, in the table's column order; a bad value stops the load."""
-        df = self.spark.read.csv(path, schema=self.schema(table), header=header, mode="FAILFAST")
+        times = "yyyy-MM-dd[['T'][ ]HH:mm:ss[.SSSSSS]]"
+        df = self.spark.read.option("timestampNTZFormat", times).csv(path, schema=self.schema(table), header=header, mode="FAILFAST")
         n = df.count()
         self.append(table, df)
         return n
@@ -456,6 +469,33 @@ class Engine:
                 out.append((n, begin, begin + (timedelta(hours=1) if hours else timedelta(days=1))))
         return out
 
+    def _swap(self, table: str, name: str, fresh: str | None) -> None:
+        """Puts the folder ``fresh`` (or nothing) in a partition's place. The old one is renamed aside first and deleted last;
+        ``recover`` brings it back if the work ends in between."""
+        here, aside = f"{self.path(table)}/{name}", f"{self.path(table)}/_old-{name}"
+        self.files.rename(here, aside)
+        if fresh:
+            self.files.rename(fresh, here)
+        else:
+            self.files.write_json(f"{aside}/_empty", True)
+        self.files.delete(aside)
+
+    def recover(self, table: str) -> int:
+        """Settles rewrites that were broken off: partitions set aside without a successor come back, remains go."""
+        here, done = self.path(table), 0
+        names = self.files.names(here)
+        for n in names:
+            if n.startswith("_old-"):
+                back = n.removeprefix("_old-")
+                if back not in names and not self.files.exists(f"{here}/{n}/_empty"):
+                    self.files.rename(f"{here}/{n}", f"{here}/{back}")
+                    done += 1
+                else:
+                    self.files.delete(f"{here}/{n}")
+            elif n.startswith(("_new-", "_gone-")):
+                self.files.delete(f"{here}/{n}")
+        return done
+
     def _drop_partitions(self, table: str, gone: Callable[[datetime, datetime], bool]) -> int:
         names = [n for n, begin, end in self.partitions(table) if gone(begin, end)]
         for n in names:  # renamed first, so that a reader's listing never sees half a partition
@@ -488,15 +528,15 @@ class Engine:
 
     def delete_exact(self, table: str, where: str) -> None:
         """Deletes matching rows, also of border partitions, by rewriting the partitions that hold any."""
+        self.recover(table)
         s = self.table(table)
         cond = F.coalesce(Builder(self.table).expr(s.df, parse(f"SELECT * FROM x WHERE {where}").where), F.lit(False))
         for (n,) in s.df.where(cond).select(s.part).distinct().collect():
             keep, aside = s.df.where((F.col(s.part) == n) & ~cond).drop(s.part), f"{self.path(table)}/_new-{uuid.uuid4().hex}"
             keep.write.parquet(aside)
-            self.files.delete(f"{self.path(table)}/{s.part}={n}")
-            if not self.spark.read.schema(keep.schema).parquet(aside).isEmpty():
-                self.files.rename(aside, f"{self.path(table)}/{s.part}={n}")
-            else:
+            left = not self.spark.read.schema(keep.schema).parquet(aside).isEmpty()
+            self._swap(table, f"{s.part}={n}", aside if left else None)
+            if not left:
                 self.files.delete(aside)
 
     def sweep(self, rules: Sequence[tuple[str, str]], now: datetime) -> dict[str, int]:
@@ -516,13 +556,13 @@ class Engine:
     def compact(self, table: str, files: int = 1) -> int:
         """Rewrites partitions of more than ``files`` files, sorted by time."""
         ts, done = self._time(self._entry("tables", table)), 0
+        self.recover(table)
         for n, *_ in self.partitions(table):
             here = f"{self.path(table)}/{n}"
             if sum(x.endswith(".parquet") for x in self.files.names(here)) > files:
                 aside = f"{self.path(table)}/_new-{uuid.uuid4().hex}"
                 self.spark.read.schema(self.schema(table)).parquet(here).repartitionByRange(files, ts).sortWithinPartitions(ts).write.parquet(aside)
-                self.files.delete(here)
-                self.files.rename(aside, here)
+                self._swap(table, n, aside)
                 done += 1
         return done
 
@@ -532,15 +572,25 @@ class Engine:
         s.df.repartition(s.part).sortWithinPartitions(s.ts).write.mode("overwrite").partitionBy(s.part).parquet(path)
         return len([n for n in self.files.names(path) if n.startswith("_part_")])
 
+    def _copied(self, name: str, path: str, to: str) -> None:
+        """One table's rows from folder to folder, by the executors, as they are stored."""
+        t = self._entry("tables", name)
+        part = self._part(t)
+        rows = self.spark.read.schema(T.StructType([*self.schema(name).fields, T.StructField(part, T.StringType())])).parquet(path)
+        rows.sortWithinPartitions(part, self._time(t)).write.mode("overwrite").partitionBy(part).parquet(to)
+
+    def _state(self, name: str) -> dict:
+        s = self.table(name)
+        n, last = s.df.agg(F.count(F.lit(1)), F.max(s.ts).cast("string")).first()
+        return {"rows": n, "last": last}
+
     def backup(self, to: str) -> dict:
         """Copies catalog and tables; the manifest, written last, makes the set valid."""
         tables = {}
         for name in self.catalog["tables"]:
-            if self.files.exists(self.path(name)):
-                self.files.copy(self.path(name), f"{to}/data/{name}")
-            s = self.table(name)
-            n, last = s.df.agg(F.count(F.lit(1)), F.max(s.ts).cast("string")).first()
-            tables[name] = {"rows": n, "last": last}
+            if self.files.names(self.path(name)):
+                self._copied(name, self.path(name), f"{to}/data/{name}")
+            tables[name] = self._state(name)
         manifest = {"tables": tables, "catalog": self.catalog}
         self.files.write_json(f"{to}/manifest.json", manifest)
         return manifest
@@ -552,20 +602,58 @@ class Engine:
         manifest = files.read_json(f"{source}/manifest.json")
         if manifest is None:
             raise FileNotFoundError(f"no manifest in {source}")
+        out = cls(spark, root)
+        out.catalog = manifest["catalog"]
         for name in manifest["tables"]:
-            if files.exists(f"{source}/data/{name}") and not files.exists(f"{root}/data/{name}"):
-                files.copy(f"{source}/data/{name}", f"{root}/data/_restoring-{name}")
+            if files.names(f"{source}/data/{name}") and not files.exists(f"{root}/data/{name}"):
+                out._copied(name, f"{source}/data/{name}", f"{root}/data/_restoring-{name}")
                 files.rename(f"{root}/data/_restoring-{name}", f"{root}/data/{name}")
-        files.write_json(f"{root}/catalog.json", manifest["catalog"])
-        return cls(spark, root)
+        out._save()
+        return out
+
+    def migrate(self, to: Engine, tables: Sequence[str], drop: bool = False) -> dict[str, int]:
+        """Moves tables into another engine's store: rows a table. Done over, it copies nothing twice: a table that the other
+        store already holds whole is left, and one that it holds otherwise is refused. With drop the own copy goes once the
+        other's rows and last time are the same."""
+        out = {}
+        for name in tables:
+            t, state = self._entry("tables", name), self._state(name)
+            to.refresh()
+            if name not in to.catalog["tables"]:
+                if t.get("stable") and t["stable"] not in to.catalog["stables"]:
+                    to._new("stables", t["stable"], self.catalog["stables"][t["stable"]])
+                if self.files.names(self.path(name)):
+                    self._copied(name, self.path(name), to.path(name))
+                to._new("tables", name, t)
+            if to.catalog["tables"][name] != t or to._state(name) != state:
+                raise QueryError(f"{name} differs in the other store")
+            out[name] = state["rows"]
+            if drop:
+                self._drop_table(name)
+        return out
+
+    def stats(self, table: str) -> DataFrame:
+        """column, least, most (as text) and rows of every number and time column, from the files' footers alone.
+
+        Parquet's own statistics are asked for by aggregate push-down, which only Spark's second Parquet reader has; a session of
+        its own has that reader and the setting. No row is decoded.
+        """
+        t = self._entry("tables", table)
+        names = [c for c, k in self._shape(t) if k != "SYMBOL"]
+        session = self.spark.newSession()
+        for key, value in (("spark.sql.sources.useV1SourceList", ""), ("spark.sql.parquet.aggregatePushdown", "true"), ("spark.sql.session.timeZone", "UTC")):
+            session.conf.set(key, value)
+        full = T.StructType([*self.schema(table).fields, T.StructField(self._part(t), T.StringType())])
+        rows = session.read.schema(full).parquet(self.path(table)) if self.files.names(self.path(table)) else session.createDataFrame([], full)
+        found = rows.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{i}") for i, c in enumerate(names) for f in (F.min, F.max)])
+        one = [F.struct(F.lit(c).alias("column"), F.col(f"min_{i}").cast("string").alias("least"), F.col(f"max_{i}").cast("string").alias("most"), F.col("n").alias("rows")) for i, c in enumerate(names)]
+        return found.select(F.explode(F.array(*one)).alias("x")).select("x.*")
 
     def verify(self, manifest: dict) -> list[str]:
         """Tables whose rows or last time differ from the manifest."""
         bad = []
         for name, want in manifest["tables"].items():
-            s = self.table(name)
-            n, last = s.df.agg(F.count(F.lit(1)), F.max(s.ts).cast("string")).first()
-            if {"rows": n, "last": last} != want:
+            if self._state(name) != want:
                 bad.append(name)
         return bad
 

@@ -1,6 +1,7 @@
 """Line protocol: ``measurement[,tag=value…] field=value[,field=value…] [nanoseconds]``, parsed by JVM expressions only.
 
-Backslash escapes of comma, space, equals sign, quote and backslash are kept apart first, so plain patterns can split.
+A backslash escapes comma, space, equals sign, quote and backslash; before any other character it stands for itself. The
+patterns take an escape as one unit and never go back, so the work grows with a line's length.
 Values: 42i and 42u whole numbers, t/f/true/false 1 and 0, quoted text, all else doubles. A
 missing or zero time is the time of ingest. Lines that don't parse have a reason in ``error`` and are never fatal.
 """
@@ -10,40 +11,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Private-use characters that stand for escaped ones while a line is split.
-_ESCAPES = {"\\\\": "\ue000", "\\,": "\ue001", "\\ ": "\ue002", "\\=": "\ue003", '\\"': "\ue004"}
-_PLAIN = {"\ue000": "\\", "\ue001": ",", "\ue002": " ", "\ue003": "=", "\ue004": '"'}
-_QUOTED = r'"[^"]*"'
-_FIELD = rf'[^,= "]+=(?:{_QUOTED}|[^,= "]+)'
-_LINE = rf"^([^, ]+)((?:,[^,= ]+=[^,= ]+)*) +({_FIELD}(?:,{_FIELD})*)(?: +(-?\d+))?\s*$"
-
-
-def _shielded(c: Column) -> Column:
-    for raw, stand_in in _ESCAPES.items():
-        c = F.replace(c, F.lit(raw), F.lit(stand_in))
-    return c
+_PAIR = r"\\(?:.|$)"
+_NAME, _KEY, _FIELD_KEY = rf"(?:[^, \\]++|{_PAIR})++", rf"(?:[^,= \\]++|{_PAIR})++", rf'(?:[^,= "\\]++|{_PAIR})++'
+_VALUE = rf'(?:"(?:[^"\\]++|{_PAIR})*+"|{_FIELD_KEY})'
+_TAG, _FIELD = rf"({_KEY})=({_KEY})", rf"({_FIELD_KEY})=({_VALUE})"
+#: The head (measurement and tags), the fields and the time of a line.
+_LINE = rf"(?s)^({_NAME}(?:,{_KEY}={_KEY})*+) ++({_FIELD_KEY}={_VALUE}(?:,{_FIELD_KEY}={_VALUE})*+)(?: ++(-?\d++))?\s*+$"
 
 
 def _plain(c: Column) -> Column:
-    for stand_in, raw in _PLAIN.items():
-        c = F.replace(c, F.lit(stand_in), F.lit(raw))
-    return c
+    return F.when(F.contains(c, F.lit("\\")), F.regexp_replace(c, r'\\([\\, ="])', "$1")).otherwise(c)
 
 
-def _pairs(text: Column) -> Column:
-    """Entries of a key=value list, cut at commas outside quotes."""
-    parts = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, r',(?=(?:[^"]*"[^"]*")*[^"]*$)'))
-    cut = lambda x: F.instr(x, F.lit("="))
-    entry = lambda x: F.struct(_plain(F.substring(x, F.lit(1), cut(x) - 1)).alias("key"), F.substring(x, cut(x) + 1, F.length(x)).alias("value"))
-    return F.transform(parts, entry)
+def _pairs(text: Column, pattern: str, value) -> Column:
+    """Entries (key, value) of all matches of a pattern with two groups."""
+    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 1).alias("k"), F.regexp_extract_all(text, F.lit(pattern), 2).alias("v"))
+    return F.transform(both, lambda e: F.struct(_plain(e["k"]).alias("key"), value(e["v"]).alias("value")))
 
 
 def _typed(v: Column) -> Column:
     """(long, double, text) of a field value; one of them is set."""
-    low = F.lower(v)
-    whole = F.when(v.rlike(r"^-?\d+[iu]$"), F.regexp_extract(v, r"^(-?\d+)", 1).try_cast("long")).when(low.isin("t", "true"), F.lit(1).cast("long")).when(low.isin("f", "false"), F.lit(0).cast("long"))
-    text = F.when(v.startswith('"'), _plain(F.substring(v, F.lit(2), F.length(v) - 2)))
-    return F.struct(whole.alias("i"), F.when(whole.isNull() & text.isNull(), v.try_cast("double")).alias("d"), text.alias("s"))
+    quoted, low = v.startswith('"'), F.lower(v)
+    text = F.when(quoted, _plain(F.substring(v, F.lit(2), F.length(v) - 2)))
+    marked = ~quoted & F.right(v, F.lit(1)).isin("i", "u") & v.rlike(r"^-?\d+[iu]$")
+    whole = F.when(marked, F.substring(v, F.lit(1), F.length(v) - 1).try_cast("long")).when(low.isin("t", "true"), F.lit(1).cast("long")).when(low.isin("f", "false"), F.lit(0).cast("long"))
+    return F.struct(whole.alias("i"), F.when(~quoted & whole.isNull(), v.try_cast("double")).alias("d"), text.alias("s"))
 
 
 def _once(df: DataFrame) -> DataFrame:
@@ -51,21 +43,24 @@ def _once(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("__row")).select("__row.*")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: what follows costs more than the exchange of few large files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:
     """measurement, tags (map), fields (map to struct<i,d,s>), ts, ts_ns, line, error. Blank lines and # comments go."""
-    line = F.trim(F.col(column))
-    rows = lines.select(line.alias("line")).where((F.col("line") != "") & ~F.col("line").startswith("#")).withColumn("__l", _shielded(F.col("line")))
-    rows = _once(rows)
-    good = F.col("__l").rlike(_LINE)
-    part = lambda i: F.regexp_extract("__l", _LINE, i)
-    fields = F.transform(_pairs(part(3)), lambda e: F.struct(e["key"], _typed(e["value"]).alias("value")))
-    tags = F.transform(_pairs(F.substring(part(2), F.lit(2), F.length(part(2)))), lambda e: F.struct(e["key"], _plain(e["value"]).alias("value")))
-    rows = rows.select("line", good.alias("__ok"), _plain(part(1)).alias("measurement"), tags.alias("__t"), fields.alias("__f"), part(4).try_cast("long").alias("__ns"))
-    rows = _once(rows)
+    rows = lines.select(F.trim(F.col(column)).alias("line")).where((F.col("line") != "") & ~F.col("line").startswith("#"))
+    rows = spread(rows).select("line", *[F.regexp_extract("line", _LINE, i).alias(f"__{i}") for i in range(1, 4)])
+    rows = rows.withColumn("__m", F.regexp_extract("__1", f"^{_NAME}", 0)).withColumn("__1", F.substring("__1", F.length("__m") + 2, F.length("__1")))
+    # The fields of a line that fits are never empty.
+    rows = rows.select("line", _plain(F.col("__m")).alias("measurement"), _pairs(F.col("__1"), _TAG, _plain).alias("__t"), _pairs(F.col("__2"), _FIELD, _typed).alias("__f"), F.col("__3").try_cast("long").alias("__ns"))
+    keys = lambda c: F.transform(c, lambda e: e["key"])
+    rows = rows.select("*", F.size(F.array_distinct(keys("__t"))).alias("__nt"), F.size(F.array_distinct(keys("__f"))).alias("__nf"))
     bad = F.exists("__f", lambda e: e["value"]["i"].isNull() & e["value"]["d"].isNull() & e["value"]["s"].isNull())
-    twice = (F.size(F.array_distinct(F.transform("__f", lambda e: e["key"]))) < F.size("__f")) | (F.size(F.array_distinct(F.transform("__t", lambda e: e["key"]))) < F.size("__t"))
-    error = F.when(~F.col("__ok"), "not a line").when(bad, "not a value").when(twice, "a key twice")
-    rows = rows.withColumn("error", error)
+    twice = (F.col("__nt") < F.size("__t")) | (F.col("__nf") < F.size("__f"))
+    rows = rows.withColumn("error", F.when(F.size("__f") == 0, "not a line").when(bad, "not a value").when(twice, "a key twice"))
     fine = F.col("error").isNull()
     now = F.unix_micros(F.current_timestamp()) * 1000
     ns = F.when(F.coalesce("__ns", F.lit(0)) == 0, now).otherwise(F.col("__ns"))

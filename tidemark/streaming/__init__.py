@@ -1,5 +1,5 @@
 """Live data with Structured Streaming: subscriptions, windows with watermarks, stateful windows, forwarding."""
 
-from .live import Forwarder, event_windows, live_buckets, live_sessions, source, state_windows, subscribe
+from .live import Forwarder, deliver, event_windows, live_buckets, live_sessions, source, state_windows, subscribe, unsubscribe
 
-__all__ = ["Forwarder", "event_windows", "live_buckets", "live_sessions", "source", "state_windows", "subscribe"]
+__all__ = ["Forwarder", "deliver", "event_windows", "live_buckets", "live_sessions", "source", "state_windows", "subscribe", "unsubscribe"]

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.aggregates import Agg
 from ..operators.buckets import width_micros
@@ -159,6 +159,17 @@ def state_windows(stream: DataFrame, ts: str, value: str, state: str, keys: Sequ
     return _stateful(stream, ts, value, keys, late, F.lit(False), F.lit(False), F.col(state), state_step)
 
 
+def deliver(stream: DataFrame, to: Callable, checkpoint: str, every: str = "10 milliseconds") -> StreamingQuery:
+    """Hands a subscription's rows to a function (DataFrame, batch number); rows of one interval come as one batch."""
+    return stream.writeStream.foreachBatch(to).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def unsubscribe(query: StreamingQuery) -> None:
+    """Ends a subscription after what has arrived is delivered."""
+    query.processAllAvailable()
+    query.stop()
+
+
 class Forwarder:
     """Copies every micro-batch to a second place. A batch that is replayed replaces itself, so nothing comes twice."""
 

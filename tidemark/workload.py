@@ -5,7 +5,7 @@ Keys begin with the operator's id in the inventory. Floating sums are rounded, a
 
 from __future__ import annotations
 
-import tempfile
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 
 from . import operators as ops
 from .functions.aggregates import Agg, aggregate
+from .functions.percentiles import exact_percentiles
 from .functions.udf import FunctionRegistry
 from .operators import stable
 from .plans.builder import Builder, Source
 from .plans.parser import parse
 from .plans.promql import PromQL
 from .sources import line_protocol
+from .shipping import shared_dir
 from .sources.engine import Engine
+from .sources.federation import Federation
 
 TIME = {"events": ("ts", ("event_id",)), "lineitem": ("l_shipdate", ("l_orderkey", "l_linenumber")), "orders": ("o_orderdate", ("o_orderkey",))}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -39,7 +42,7 @@ def shrink(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[(F.round(F.col(f"`{c}`"), places) + F.lit(0.0)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
-def qtl(spark: SparkSession, sf_dir: str, text: str, functions: FunctionRegistry | None = None) -> DataFrame:
+def select(spark: SparkSession, sf_dir: str, text: str, functions: FunctionRegistry | None = None) -> DataFrame:
     def resolve(name: str) -> Source:
         if name not in TABLES:
             raise ValueError(f"no table {name}")
@@ -50,8 +53,8 @@ def qtl(spark: SparkSession, sf_dir: str, text: str, functions: FunctionRegistry
 
 
 def add(name: str, make, sql: str | None = None) -> None:
-    """make: a QTL text or a function of (spark, sf_dir)."""
-    _queries[name] = (lambda spark, d, t=make: shrink(qtl(spark, d, t))) if isinstance(make, str) else (lambda spark, d, f=make: shrink(f(spark, d)))
+    """make: a query text or a function of (spark, sf_dir)."""
+    _queries[name] = (lambda spark, d, t=make: shrink(select(spark, d, t))) if isinstance(make, str) else (lambda spark, d, f=make: shrink(f(spark, d)))
     if sql:
         _sql[name] = sql
 
@@ -120,9 +123,9 @@ def _registry(spark: SparkSession) -> FunctionRegistry:
     return r
 
 
-add("a12_u4_aggregate_of_udf", lambda s, d: qtl(s, d, "SELECT event_type, sum(mixed(value, user_id)) AS s FROM events GROUP BY event_type", _registry(s)), "SELECT event_type, round(sum(value + 10 * user_id), 6) AS s FROM events GROUP BY 1")
-add("u1_u3_scalar_udf", lambda s, d: qtl(s, d, "SELECT event_id, doubled(value) AS v FROM events WHERE user_id < 20", _registry(s)), "SELECT event_id, round(value * 2, 6) AS v FROM events WHERE user_id < 20")
-add("u1_u3_scalar_udf_whole_table", lambda s, d: qtl(s, d, "SELECT event_id, doubled(value) AS v FROM events", _registry(s)), "SELECT event_id, round(value * 2, 6) AS v FROM events")
+add("a12_u4_aggregate_of_udf", lambda s, d: select(s, d, "SELECT event_type, sum(mixed(value, user_id)) AS s FROM events GROUP BY event_type", _registry(s)), "SELECT event_type, round(sum(value + 10 * user_id), 6) AS s FROM events GROUP BY 1")
+add("u1_u3_scalar_udf", lambda s, d: select(s, d, "SELECT event_id, doubled(value) AS v FROM events WHERE user_id < 20", _registry(s)), "SELECT event_id, round(value * 2, 6) AS v FROM events WHERE user_id < 20")
+add("u1_u3_scalar_udf_whole_table", lambda s, d: select(s, d, "SELECT event_id, doubled(value) AS v FROM events", _registry(s)), "SELECT event_id, round(value * 2, 6) AS v FROM events")
 add("a14_distinct_counts", lambda s, d: aggregate(load(s, d, "events"), [Agg("count_distinct", "user_id", "users"), Agg("count", None, "n")], ["event_type"]), "SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS n FROM events GROUP BY 1")
 add("a14_cube", lambda s, d: load(s, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q")),
     "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 6) AS q FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
@@ -273,15 +276,16 @@ add("q4_aggregate_by", _prom("sum by (event_type) (m)"), "SELECT event_type, rou
 add("q5_nested_aggregate", _prom("max(avg_over_time(m[1d])) by (event_type)"), f"SELECT ts, event_type, round(max(value), 6) AS value FROM (SELECT {_bucket('ts', DAY)} AS ts, event_type, user_id, avg(value) AS value FROM events GROUP BY 1, 2, 3) GROUP BY 1, 2")
 add("q7_matrix", lambda s, d: _prom("count_over_time(m[1d])", True)(s, d).select("metric", F.size(F.from_json("values", "array<array<string>>")).alias("points")),
     f"""SELECT '{{"event_type":"' || event_type || '","host":"' || user_id || '"}}' AS metric, count(DISTINCT {_bucket('ts', DAY)})::INTEGER AS points FROM events GROUP BY event_type, user_id""")
-add("g1_federation", lambda s, d: aggregate(stable.federated([load(s, d, "events").where(F.col("user_id") % 3 == i) for i in range(3)]), [Agg("avg", "value", "a"), Agg("count", None, "n")], ["event_type"]),
+add("g2_g3_merged_partials", lambda s, d: aggregate(stable.federated([load(s, d, "events").where(F.col("user_id") % 3 == i) for i in range(3)]), [Agg("avg", "value", "a"), Agg("count", None, "n")], ["event_type"]),
     "SELECT event_type, round(avg(value), 6) AS a, count(*) AS n FROM events GROUP BY 1")
+add("q7_matrix_values", lambda s, d: _prom("count_over_time(m[1d])", True)(s, d).select("metric", F.explode(F.from_json("values", "array<array<string>>")).alias("p")).select("metric", F.col("p")[0].cast("double").alias("t"), F.col("p")[1].cast("double").alias("v")),
+    f"""SELECT '{{"event_type":"' || event_type || '","host":"' || user_id || '"}}' AS metric, epoch_us({_bucket('ts', DAY)}) / 1e6 AS t, count(*)::DOUBLE AS v FROM events GROUP BY event_type, user_id, {_bucket('ts', DAY)}""")
 
 
 # --- sources and sinks ---
 def scratch(spark: SparkSession) -> str:
     """A new folder where all executors can write."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{top.rstrip('/')}/tidemark-{uuid.uuid4().hex[:12]}"
+    return f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex[:12]}"
 
 
 def _line_protocol(s: SparkSession, d: str) -> DataFrame:
@@ -335,6 +339,180 @@ def _insert(s: SparkSession, d: str) -> DataFrame:
 add("s5_d4_d6_insert_super_table", _insert, "SELECT * FROM (VALUES ('east', 3::BIGINT, 6.5::DOUBLE, 221::BIGINT), ('west', 2::BIGINT, 9.0::DOUBLE, 231::BIGINT)) t(location, n, c, v)")
 
 
+def _made(s: SparkSession, columns: str, name: str = "m", root: str | None = None) -> Engine:
+    e = Engine(s, root or scratch(s))
+    e.sql(f"CREATE TABLE {name} ({columns}) TIMESTAMP(ts)")
+    return e
+
+
+def _batch(s: SparkSession, d: str) -> DataFrame:
+    e = _made(s, "ts TIMESTAMP, id INT64, name SYMBOL")
+    b = e.batch("m")
+    for i, r in enumerate(load(s, d, "nation").orderBy("n_nationkey").collect()):  # 25 rows, as a client would add them
+        b.row(ts=f"2024-01-01 00:00:{i:02d}", id=r.n_nationkey, name=r.n_name)
+    b.commit()
+    return e.sql("SELECT ts, id, name FROM m")
+
+
+add("s6_batch", _batch, "SELECT TIMESTAMP '2024-01-01' + to_seconds((row_number() OVER (ORDER BY n_nationkey) - 1)::INTEGER) AS ts, n_nationkey::BIGINT AS id, n_name AS name FROM nation")
+
+
+def _arrow(s: SparkSession, d: str) -> DataFrame:
+    e = _made(s, "ts TIMESTAMP, id INT64, kind SYMBOL, v FLOAT64")
+    e.append_arrow("m", load(s, d, "events").select("ts", F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("value").alias("v")).toArrow())
+    return e.sql("SELECT kind, count(*) AS n, sum(v) AS v, max(id) AS id FROM m GROUP BY kind")
+
+
+add("s7_append_arrow", _arrow, "SELECT event_type AS kind, count(*) AS n, round(sum(value), 6) AS v, max(event_id) AS id FROM events GROUP BY 1")
+
+
+def _csv(s: SparkSession, d: str) -> DataFrame:
+    e, at = _made(s, "ts TIMESTAMP, id INT64, kind SYMBOL, v FLOAT64"), scratch(s)
+    load(s, d, "events").select(F.col("ts").cast("string"), "event_id", "event_type", "value").write.csv(at)
+    e.load_csv("m", at)
+    return e.sql("SELECT ts, id, kind, v FROM m")
+
+
+add("s12_csv", _csv, "SELECT ts, event_id AS id, event_type AS kind, round(value, 6) AS v FROM events")
+
+
+def _ingested(s: SparkSession, d: str) -> DataFrame:
+    e = Engine(s, scratch(s))
+    lines = load(s, d, "events").select(F.concat(F.lit("m,kind="), F.col("event_type"), F.lit(" id="), F.col("event_id").cast("string"), F.lit("i,v="), F.col("value").cast("string"), F.lit(" "), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).cast("string")).alias("value"))
+    e.ingest_lines(lines.unionByName(s.createDataFrame([("not a line",), ("# comment",)], "value string")))
+    return e.sql("SELECT ts, kind, id, v FROM m")
+
+
+add("s10_ingest_lines", _ingested, "SELECT ts, event_type AS kind, event_id AS id, round(value, 6) AS v FROM events")
+
+
+def _restored(s: SparkSession, d: str) -> DataFrame:
+    e, to = _engine(s, d), scratch(s)
+    e.backup(f"{to}/set")
+    e.sql("DROP TABLE m")
+    return Engine.restore(s, f"{to}/set", f"{to}/new").sql("SELECT ts, id, kind, v FROM m")
+
+
+add("s16_backup_restore", _restored, "SELECT ts, event_id AS id, event_type AS kind, round(value, 6) AS v FROM events")
+
+
+def _migrated(s: SparkSession, d: str) -> DataFrame:
+    e, other = _engine(s, d), Engine(s, scratch(s))
+    e.migrate(other, ["m"])
+    e.migrate(other, ["m"], drop=True)  # done over: nothing comes twice
+    return other.sql("SELECT kind, count(*) AS n, min(ts) AS lo FROM m GROUP BY kind")
+
+
+add("s15_migrate", _migrated, "SELECT event_type AS kind, count(*) AS n, min(ts) AS lo FROM events GROUP BY 1")
+add("s3_stats_only", lambda s, d: _engine(s, d).stats("m").where("column <> 'v'"),
+    """SELECT 'id' AS "column", min(event_id)::VARCHAR AS least, max(event_id)::VARCHAR AS most, count(*) AS rows FROM events
+    UNION ALL SELECT 'ts', min(ts)::VARCHAR, max(ts)::VARCHAR, count(*) FROM events""")
+
+
+def _kept(s: SparkSession, d: str) -> DataFrame:
+    e = _engine(s, d)
+    e.sweep([("other*", "1s"), ("m", "10d")], dt.datetime(2024, 1, 20))
+    e.trim_after("m", dt.datetime(2024, 1, 25, 12))
+    e.compact("m")
+    return e.sql("SELECT count(*) AS n, min(ts) AS lo, max(ts) AS hi FROM m")
+
+
+add("d15_d16_retention_and_trim", _kept, "SELECT count(*) AS n, min(ts) AS lo, max(ts) AS hi FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-26'")
+
+
+def _exactly_deleted(s: SparkSession, d: str) -> DataFrame:
+    e = _engine(s, d)
+    e.delete_exact("m", "ts < '2024-01-10 12:00:00' OR kind = 'view'")
+    return e.sql("SELECT kind, count(*) AS n, min(ts) AS lo FROM m GROUP BY kind")
+
+
+add("d10_delete_exact", _exactly_deleted, "SELECT event_type AS kind, count(*) AS n, min(ts) AS lo FROM events WHERE ts >= TIMESTAMP '2024-01-10 12:00:00' AND event_type <> 'view' GROUP BY 1")
+
+
+def _out_of_order(s: SparkSession, d: str) -> DataFrame:
+    e = _made(s, "ts TIMESTAMP, id INT64, kind SYMBOL, v FLOAT64")
+    rows = load(s, d, "events").select("ts", F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("value").alias("v"))
+    for part in (2, 0, 1):  # interleaved and late: every day gets three files
+        e.append("m", rows.where(F.col("id") % 3 == part).orderBy(F.desc("ts")))
+    return e.sql("SELECT kind, count(*) AS n, avg(v) AS a FROM m PARTITION BY kind SESSION(ts, 5m)")
+
+
+add("m9_out_of_order", _out_of_order, _SESSION.format(p="PARTITION BY event_type", k="event_type,", g=300_000_000).replace("SELECT event_type, min", "SELECT event_type AS kind, min"))
+
+
+def _ddl(s: SparkSession, d: str) -> DataFrame:
+    e = Engine(s, scratch(s), audit=True)
+    for text in (
+        "CREATE DATABASE plant", "CREATE DATABASE old", "DROP DATABASE old", "USE DATABASE plant", "CREATE GROUP line1", "CREATE DEVICE press IN GROUP line1", "CREATE DEVICE lathe IN GROUP line1", "DROP DEVICE lathe",
+        "CREATE STABLE st (ts TIMESTAMP, v FLOAT64) TAGS (site SYMBOL)", "CREATE TABLE c1 USING st TAGS ('a')", "CREATE TABLE t (ts TIMESTAMP, v FLOAT64) TIMESTAMP(ts)", "ALTER TABLE t ADD COLUMN w INT64",
+        "CREATE TABLE gone (ts TIMESTAMP, v FLOAT64) TIMESTAMP(ts)", "DROP TABLE gone", "INSERT INTO t VALUES ('2024-01-01', 1, 2)", "TRUNCATE TABLE t",
+        "CREATE USER ann IDENTIFIED BY 'long enough'", "GRANT SELECT ON t TO ann",
+        "CREATE CONSUMER GROUP g ON t", "JOIN GROUP g AS c1", "JOIN GROUP g AS c2", "COMMIT OFFSET g AS c1 AT 10", "COMMIT OFFSET g AT 4", "LEAVE GROUP g AS c1",
+        "CREATE FUNCTION half (FLOAT64) RETURNS FLOAT64 FROM 'tidemark.workload' SYMBOL '_doubled'", "LIST FUNCTIONS", "DROP FUNCTION half",
+    ):
+        e.sql(text)
+    said = [("database", e.sql("LIST DATABASES"), "name"), ("device", e.sql("LIST DEVICES IN GROUP line1"), "name"), ("stable", e.sql("LIST STABLES"), "name"), ("table", e.sql("LIST TABLES"), "name"), ("column", e.sql("DESCRIBE t"), "concat(col_name, ' ', type)"),
+            ("tag", e.sql("DESCRIBE c1").where("is_tag"), "concat(col_name, '=', tag_value)"), ("rows", e.sql("SELECT count(*) AS n FROM t"), "cast(n AS string)"), ("user", e.sql("LIST USERS"), "name"),
+            ("offset", e.sql("LIST CONSUMERS"), "concat(partition, ' ', member, ' ', committed)"), ("audit", e.audit_log().where("ok AND action = 'CREATE TABLE'"), "action")]
+    e.sql("DROP STABLE st")
+    said.append(("left", e.sql("LIST TABLES"), "name"))
+    out = None
+    for kind, df, what in said:
+        one = df.selectExpr(f"'{kind}' AS kind", f"{what} AS said")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_DDL = [("database", "plant"), ("device", "press"), ("stable", "st"), ("table", "c1"), ("table", "t"), ("column", "ts TIMESTAMP"), ("column", "v FLOAT64"), ("column", "w INT64"), ("tag", "site=a"), ("rows", "0"), ("user", "ann"),
+        ("offset", "0 c2 10"), ("offset", "1 c2 4"), ("offset", "2 c2 10"), ("offset", "3 c2 4"), *[("audit", "CREATE TABLE")] * 3, ("left", "t")]
+add("d1_d17_catalog", _ddl, f"SELECT * FROM (VALUES {', '.join(map(str, _DDL))}) t(kind, said)")
+
+
+def _stores(s: SparkSession, d: str) -> Federation:
+    """Two stores with a part of the rows each, and one that is lost."""
+    f, e = Federation(s), load(s, d, "events").select("ts", F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("value").alias("v"))
+    for part in range(2):
+        store = _made(s, "ts TIMESTAMP, id INT64, kind SYMBOL, v FLOAT64")
+        store.append("m", e.where(F.col("id") % 2 == part))
+        f.add("m*", store.root)
+    f.add("*", f"{scratch(s)}/lost")
+    return f
+
+
+def _federated(text: str):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        out, missed = _stores(s, d).sql(text)
+        return out.withColumn("missed", F.lit(len(missed)).cast("long"))
+
+    return run
+
+
+add("g1_g6_federation", _federated("SELECT kind, avg(v) AS a, count(*) AS n FROM m WHERE ts >= '2024-01-05' GROUP BY kind"), "SELECT event_type AS kind, round(avg(value), 6) AS a, count(*) AS n, 1::BIGINT AS missed FROM events WHERE ts >= TIMESTAMP '2024-01-05' GROUP BY 1")
+add("g4_federated_sample_by", _federated("SELECT time_bucket(ts, 1d) AS b, avg(v) AS a, count(*) AS n FROM m SAMPLE BY 1d"), f"SELECT {_bucket('ts', DAY)} AS b, round(avg(value), 6) AS a, count(*) AS n, 1::BIGINT AS missed FROM events GROUP BY 1")
+add("q8_metrics_on_tables", lambda s, d: _engine(s, d).promql("avg by (kind) (m)", "v"), "SELECT event_type AS kind, round(avg(value), 6) AS value FROM events GROUP BY 1")
+
+
+# --- clauses together ---
+add("f9_precedence", "SELECT event_id FROM events WHERE user_id = 1 OR user_id = 2 AND value > 50 OR NOT event_type = 'view' AND value + 2 * 3 > 100", "SELECT event_id FROM events WHERE user_id = 1 OR user_id = 2 AND value > 50 OR NOT event_type = 'view' AND value + 2 * 3 > 100")
+add("f8_nan_in_the_language", lambda s, d: Builder(lambda _: Source(load(s, d, "events").select("event_id", F.when(F.col("user_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("v")), None)).build(parse("SELECT event_id, v FROM x WHERE v > 50 AND v < 1000000")),
+    "SELECT event_id, round(value, 6) AS v FROM events WHERE user_id % 3 <> 0 AND value > 50 AND value < 1000000")
+add("j1f_asof_limit", "SELECT l_orderkey, l_linenumber, o_orderkey FROM lineitem ASOF JOIN orders ORDER BY l_orderkey, l_linenumber LIMIT 50",
+    """WITH o AS (SELECT o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1)
+    SELECT l_orderkey, l_linenumber, o_orderkey FROM lineitem l ASOF LEFT JOIN o ON l.l_shipdate >= o.o_orderdate ORDER BY l_orderkey, l_linenumber LIMIT 50""")
+add("l2_latest_limit", "SELECT user_id, event_id FROM events LATEST ON ts PARTITION BY user_id ORDER BY user_id LIMIT 10", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 ORDER BY user_id LIMIT 10")
+add("a6_sketch_percentiles", lambda s, d: _within(s, d), "SELECT event_type, true AS close FROM events GROUP BY 1")
+
+
+def _within(s: SparkSession, d: str) -> DataFrame:
+    """Whether sketches lie between the exact percentiles a hundredth of the ranks away (a sketch names a value, also of few rows)."""
+    got = select(s, d, "SELECT event_type, approx_percentile(value, 0.5) AS m, approx_percentile(value, 0.99) AS h, percentile(value, 0.49) AS m0, percentile(value, 0.51) AS m1, percentile(value, 0.98) AS h0, percentile(value, 1) AS h1 FROM events GROUP BY event_type")
+    return got.select("event_type", (F.col("m").between(F.col("m0") - 1e-9, F.col("m1") + 1e-9) & F.col("h").between(F.col("h0") - 1e-9, F.col("h1") + 1e-9)).alias("close"))
+
+
+add("a7_bracketed_percentiles", lambda s, d: exact_percentiles(load(s, d, "events"), F.col("value"), {"p50": 0.5, "p99": 0.99, "p25": 0.25}, ["event_type"], accuracy=100),
+    "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99, round(quantile_cont(value, 0.25), 6) AS p25 FROM events GROUP BY 1")
+
+
 # --- streams, run to their end ---
 def _drained(stream: DataFrame, s: SparkSession, mode: str = "append") -> DataFrame:
     to = scratch(s)
@@ -375,4 +553,59 @@ def _live_events(s: SparkSession, d: str) -> DataFrame:
     return _drained(out, s)
 
 
-add("m8_live_event_windows", _live_events)
+_DONE = "(SELECT (epoch_us(max(ts)) // 1000) * 1000 FROM events)"  # the last watermark
+_LIVE_EVENT = f"""WITH a AS (SELECT *, coalesce(sum(CASE WHEN value < 20 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM events),
+b AS (SELECT *, min(CASE WHEN value > 150 THEN ts END) OVER (PARTITION BY user_id, seg) AS s FROM a)
+SELECT user_id, min(ts) AS window_start, max(ts) AS window_end, count(*) AS n, round(sum(value), 6) AS total FROM b WHERE ts >= s
+GROUP BY user_id, seg HAVING bool_or(value < 20) AND epoch_us(max(ts)) < {_DONE}"""
+_NTZ = lambda df: df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+add("m8_live_event_windows", lambda s, d: _NTZ(_live_events(s, d)), _LIVE_EVENT)
+
+
+def _live_states(s: SparkSession, d: str) -> DataFrame:
+    from .streaming import live
+
+    return _NTZ(_drained(live.state_windows(_stream(s, d), "ts", "value", "event_type", ["user_id"]), s))
+
+
+add("m8_live_state_windows", _live_states, f"""WITH a AS (SELECT *, CASE WHEN event_type <> lag(event_type) OVER w THEN 1 ELSE 0 END AS brk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS grp FROM a),
+c AS (SELECT user_id, grp, min(ts) AS window_start, max(ts) AS window_end, count(*) AS n, round(sum(value), 6) AS total, min(event_type) AS state FROM b GROUP BY user_id, grp),
+e AS (SELECT *, lead(window_start) OVER (PARTITION BY user_id ORDER BY grp) AS nx FROM c)
+SELECT user_id, window_start, window_end, n, total, state FROM e WHERE epoch_us(nx) < {_DONE}""")
+
+
+def _live_sessions(s: SparkSession, d: str) -> DataFrame:
+    from .streaming import live
+
+    return _NTZ(_drained(live.live_sessions(_stream(s, d), "ts", "12h", [Agg("count", None, "n"), Agg("sum", "value", "total")], ["user_id"]), s))
+
+
+add("m8_live_sessions", _live_sessions, f"""WITH a AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w >= {12 * HOUR} THEN 1 ELSE 0 END AS brk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS grp FROM a)
+SELECT user_id, min(ts) AS window_start, max(ts) AS window_end, count(*) AS n, round(sum(value), 6) AS total FROM b GROUP BY user_id, grp HAVING epoch_us(max(ts)) + {12 * HOUR} <= {_DONE}""")
+
+
+def _forwarded(s: SparkSession, d: str) -> DataFrame:
+    from .streaming import live
+
+    to = scratch(s)
+    f = live.Forwarder(f"{to}/out")
+    q = _stream(s, d).select("event_id", "event_type", "value").writeStream.foreachBatch(f).option("checkpointLocation", f"{to}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.read.parquet(f"{to}/out").drop("batch")
+
+
+add("s17_forwarder", _forwarded, "SELECT event_id, event_type, round(value, 6) AS value FROM events")
+
+
+def _delivered(s: SparkSession, d: str) -> DataFrame:
+    from .streaming import live
+
+    to = scratch(s)
+    q = live.deliver(live.subscribe(_stream(s, d), "event_type", "view").select("event_id"), lambda df, n: df.write.mode("overwrite").parquet(f"{to}/out/batch={n}"), f"{to}/state", every="10 milliseconds")
+    live.unsubscribe(q)
+    return s.read.parquet(f"{to}/out").drop("batch")
+
+
+add("m3_m4_coalesced_subscription", _delivered, "SELECT event_id FROM events WHERE event_type = 'view'")
