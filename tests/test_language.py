@@ -112,3 +112,22 @@ def test_promql_errors(spark, sf):
 def test_unknown_table(spark, sf):
     with pytest.raises(ValueError):
         select(spark, sf, "SELECT a FROM nowhere")
+
+
+def test_metric_arithmetic_and_offset(spark):
+    import datetime as dt
+
+    from tidemark.plans.lexer import QueryError
+    from tidemark.plans.promql import PromQL
+
+    t = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(t, "a", "x", 3.0), (t, "b", "x", 5.0)], "ts timestamp_ntz, host string, zone string, value double")
+    p = PromQL(lambda _: (df, "ts"))
+    value = lambda text: sorted(r.value for r in p.query(text).collect())
+    assert value("2 * m + 1") == [7.0, 11.0] and value("1 + 2 * m") == [7.0, 11.0] and value("2 * (m + 1)") == [8.0, 12.0]
+    assert value("10 - m - 1") == [4.0, 6.0] and value('m{host="a"} / 0') == [None] and value("m * -1") == [-5.0, -3.0] and value("1e-3 * m") == [0.003, 0.005]
+    assert value("sum without (host) (m) * 2") == [16.0] and value("max(m) without (zone)") == [3.0, 5.0] and value("sum(m) / 2") == [4.0]
+    assert {r.ts for r in p.query("m offset 1h").collect()} == {t + dt.timedelta(hours=1)} and {r.ts for r in p.query("m offset -1h").collect()} == {t - dt.timedelta(hours=1)}
+    for bad in ("m + m", "1 + 1", "sum without (nolabel) (m)"):
+        with pytest.raises(QueryError):
+            p.query(bad)

@@ -1,13 +1,13 @@
-"""Registered user functions: scalar, vectorised, usable in projections and inside aggregates."""
+"""User functions: scalar ones, vectorised, for projections and inside aggregates; aggregates of partial states; table functions."""
 
 from __future__ import annotations
 
 import importlib
 import inspect
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -64,3 +64,41 @@ class FunctionRegistry:
 
     def rows(self) -> list[tuple[str, int, str, str]]:
         return [(n, len(a), r, w) for n, (a, r, _, w) in sorted(self._held.items())]
+
+
+def aggregate_by(df: DataFrame, keys: Sequence[str], columns: Sequence[str], state: str, partial: Callable[[pd.DataFrame], Sequence], returns: str, merge: Callable[[pd.DataFrame], object], to: str) -> DataFrame:
+    """A user's aggregate. ``partial`` turns rows (the columns) of one group into one state (DDL ``state``), batch by batch where
+    the rows are; only states are exchanged, and ``merge`` turns a group's states into the result of type ``returns``.
+
+    A group gives at most one state a batch. No rows, no groups; without keys the result is one row.
+    """
+    ship(df.sparkSession)
+    own = [f"k{i}" for i in range(len(keys))]
+    one = own or ["k0"]
+    rows = df.select(*([F.col(f"`{k}`").alias(o) for k, o in zip(keys, own, strict=True)] or [F.lit(0).alias("k0")]), *[F.col(f"`{c}`") for c in columns])
+    names = [f.split()[0] for f in state.split(",")]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(one)])
+
+    def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                found = [(*key, *partial(group[list(columns)])) for key, group in batch.groupby(one, dropna=False, sort=False)]
+                yield pd.DataFrame(found, columns=[*one, *names])
+
+    def merged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, merge(pdf[names]))], columns=[*one, to])
+
+    out = rows.mapInPandas(states, f"{kinds}, {state}").groupBy(*one).applyInPandas(merged, f"{kinds}, `{to}` {returns}")
+    return out.select(*[F.col(o).alias(k) for k, o in zip(keys, own, strict=True)], F.col(f"`{to}`"))
+
+
+def rows_from(df: DataFrame, columns: Sequence[str], returns: str, fn: Callable[..., Iterator[tuple]]) -> DataFrame:
+    """A user's table function: for every row of df the rows that ``fn(*columns)`` yields (DDL ``returns``), beside df's columns."""
+    ship(df.sparkSession)
+
+    class Table:
+        def eval(self, *values):
+            yield from fn(*values)
+
+    made = F.udtf(Table, returnType=returns)
+    return df.lateralJoin(made(*[F.col(c).outer() for c in columns]))

@@ -81,6 +81,7 @@ class _Windows(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", "us long, value double, a boolean, b boolean, state string")
         self.open = handle.getValueState("open", "start long, last long, n long, total double, state string")
+        self.done = handle.getValueState("done", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
@@ -93,7 +94,11 @@ class _Windows(StatefulProcessor):
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000  # later timers find these rows gone
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        # The first timer that a watermark lets expire takes all rows due; the others don't read the list again.
+        if self.done.exists() and self.done.get()[0] >= now:
+            return
+        self.done.update((now,))
         held = sorted(tuple(x) for x in self.waiting.get())
         due, later = [x for x in held if x[0] < now], [x for x in held if x[0] >= now]
         if not due:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import operators as ops
 from .functions.aggregates import Agg, aggregate
 from .functions.percentiles import exact_percentiles
-from .functions.udf import FunctionRegistry
+from .functions.udf import FunctionRegistry, aggregate_by, rows_from
 from .operators import stable
 from .plans.builder import Builder, Source
 from .plans.parser import parse
@@ -282,6 +282,8 @@ add("q7_matrix_values", lambda s, d: _prom("count_over_time(m[1d])", True)(s, d)
     f"""SELECT '{{"event_type":"' || event_type || '","host":"' || user_id || '"}}' AS metric, epoch_us({_bucket('ts', DAY)}) / 1e6 AS t, count(*)::DOUBLE AS v FROM events GROUP BY event_type, user_id, {_bucket('ts', DAY)}""")
 
 
+add("q6_without", _prom("sum without (host) (m)"), "SELECT event_type, round(sum(value), 6) AS value FROM events GROUP BY 1")
+add("q6_offset_and_arithmetic", _prom('2 * m{event_type="view"} offset 1h + 1'), "SELECT ts + INTERVAL 1 HOUR AS ts, event_type, user_id::VARCHAR AS host, round(2 * value + 1, 6) AS value FROM events WHERE event_type = 'view'")
 # --- sources and sinks ---
 def scratch(spark: SparkSession) -> str:
     """A new folder where all executors can write."""
@@ -492,6 +494,26 @@ add("g4_federated_sample_by", _federated("SELECT time_bucket(ts, 1d) AS b, avg(v
 add("q8_metrics_on_tables", lambda s, d: _engine(s, d).promql("avg by (kind) (m)", "v"), "SELECT event_type AS kind, round(avg(value), 6) AS value FROM events GROUP BY 1")
 
 
+# --- user aggregates and table functions ---
+def _partial_moments(rows: pd.DataFrame) -> tuple:
+    return len(rows), float((rows.value**3).sum())
+
+
+def _mean_cube(states: pd.DataFrame) -> float:
+    return float(states.s.sum() / states.n.sum())
+
+
+def _steps(user_id: int, value: float):
+    for i in range(user_id % 3):
+        yield i, value * i
+
+
+add("u7_user_aggregate", lambda s, d: aggregate_by(load(s, d, "events"), ["event_type"], ["value"], "n long, s double", _partial_moments, "double", _mean_cube, "m").withColumn("m", F.round(F.col("m") / 1e6, 6)),
+    "SELECT event_type, round(avg(value ** 3) / 1e6, 6) AS m FROM events GROUP BY 1")
+add("u7_user_table_function", lambda s, d: rows_from(load(s, d, "events").select("event_id", "user_id", "value"), ["user_id", "value"], "step int, scaled double", _steps).select("event_id", "step", "scaled"),
+    "SELECT event_id, i::INTEGER AS step, round(value * i, 6) AS scaled FROM (SELECT *, unnest(range(user_id % 3)) AS i FROM events)")
+
+
 # --- clauses together ---
 add("f9_precedence", "SELECT event_id FROM events WHERE user_id = 1 OR user_id = 2 AND value > 50 OR NOT event_type = 'view' AND value + 2 * 3 > 100", "SELECT event_id FROM events WHERE user_id = 1 OR user_id = 2 AND value > 50 OR NOT event_type = 'view' AND value + 2 * 3 > 100")
 add("f8_nan_in_the_language", lambda s, d: Builder(lambda _: Source(load(s, d, "events").select("event_id", F.when(F.col("user_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("v")), None)).build(parse("SELECT event_id, v FROM x WHERE v > 50 AND v < 1000000")),
