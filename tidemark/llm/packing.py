@@ -2,10 +2,11 @@
 
 A document is its token ids and a separator. Documents over ``capacity`` are cut into pieces of that
 length, the first one takes the remainder. Full pieces are sequences already; the others are dealt by hash into
-cells of about ``cell_rows`` pieces. Each cell is evolved on ``islands`` islands with seeds of their own: a
-gene is a whole bin, crossover injects well-filled bins of one parent into the other, drops the bins
-that held the same documents, and best-fits the displaced ones; fewer bins win, then fuller ones. After each
-epoch the best solution of every island migrates to the next one. The best island's solution is kept. A
+cells of about ``cell_rows`` pieces. Each cell is evolved on ``islands`` islands with seeds of their own, from best fits
+in noisy orders: a gene is a whole bin, crossover injects well-filled bins of one parent into the other, drops the bins
+that held the same documents, dissolves loose ones, and best-fits the displaced documents; fewer bins win, then
+fuller ones. An epoch ends at the lower bound or once crossovers bring no gain; then the best solution of every
+island migrates to the next one. The best island's solution is kept. A
 cell leaves at most a few open bins, so the loss against one global packing is a few sequences a cell; the
 open bins of all cells are packed once more together, in cells again.
 
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from ._common import durable, small_batches, table
 
 CAPACITY, SEPARATOR = 2048, 0
-CELL_ROWS, ISLANDS, EPOCHS, CHILDREN = 12_000, 2, 2, 10
+CELL_ROWS, ISLANDS, EPOCHS, CHILDREN, PATIENCE = 12_000, 2, 2, 60, 20
+NOISE = (0.05, 0.1, 0.15)  # of the sizes by which a solution of the first generation orders its items
 _loaded: dict = {}
 
 
@@ -138,59 +140,54 @@ def fitness(owner: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[int, f
 
 
 def crossover(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """A child of a with whole well-filled bins of b."""
+    """A child of a with whole well-filled bins of b; bins of a that held the same items or are loosest are dissolved."""
     fill = np.bincount(b, sizes)
     good = np.flatnonzero(fill >= np.quantile(fill[fill > 0], 0.5))
     chosen = np.zeros(len(fill), bool)
-    chosen[rng.choice(good, max(1, len(good) // 4), replace=False)] = True
+    chosen[rng.choice(good, max(1, int(len(good) * rng.uniform(0.05, 0.6))), replace=False)] = True
     injected = chosen[b]
-    hit = np.zeros(int(a.max()) + 1, bool)
+    load = np.bincount(a, sizes)
+    hit = np.zeros(len(load), bool)
     hit[a[injected]] = True
+    loose = np.flatnonzero((load > 0) & (load < capacity) & ~hit)
+    hit[loose[np.argsort(load[loose], kind="stable")][: max(2, int(len(loose) * rng.uniform(0.05, 1)))]] = True
     child = a.copy()
     child[injected] = b[injected] + len(hit)
     displaced = np.flatnonzero(hit[a] & ~injected)
-    # The loosest bins are opened as well, so that the displaced find partners.
-    load = np.bincount(a, sizes, minlength=len(hit))
-    loose = np.flatnonzero((load > 0) & (load < capacity) & ~hit)
-    loose = loose[np.argsort(load[loose])][: max(1, len(loose) // 10)]
-    if len(loose):
-        opened = np.zeros(len(hit), bool)
-        opened[loose] = True
-        displaced = np.concatenate((displaced, np.flatnonzero(opened[a] & ~injected)))
-    child[displaced] = len(hit) + len(fill)
-    left = np.bincount(child, sizes)
-    count = np.bincount(child)
-    left[-1] = capacity
+    fresh = len(hit) + len(fill)
+    child[displaced] = fresh
+    left, count = np.bincount(child, sizes), np.bincount(child)
     free = np.flatnonzero((count > 0) & (left < capacity))
-    free = free[free != len(hit) + len(fill)]
+    free = free[free != fresh]
     room = sorted(zip((capacity - left[free]).astype(int).tolist(), free.tolist(), strict=True))
-    order = displaced[np.argsort(-sizes[displaced], kind="stable")]
-    best_fit(order, sizes, capacity, room, child, len(hit) + len(fill) + 1)
+    best_fit(displaced[np.argsort(-sizes[displaced], kind="stable")], sizes, capacity, room, child, fresh + 1)
     return np.unique(child, return_inverse=True)[1]
 
 
-def evolve(sizes: np.ndarray, capacity: int, seed: int, children: int, known: list[np.ndarray]) -> np.ndarray:
-    """The best assignment of items to bins after ``children`` crossovers, starting from known solutions."""
+def evolve(sizes: np.ndarray, capacity: int, seed: int, children: int, known: list[np.ndarray], patience: int = PATIENCE) -> tuple[np.ndarray, int, int]:
+    """(the best assignment of items to bins, crossovers, crossovers that gained). Starts from known solutions and noisy
+    best fits; ends at the lower bound, after ``children`` crossovers or ``patience`` of them without a gain."""
     rng = np.random.default_rng(seed)
     people = [k.copy() for k in known]
-    while len(people) < 3:
-        noise = sizes * (1 + (0.15 * rng.standard_normal(len(sizes)) if people or seed % 2 else 0))
+    while len(people) < len(NOISE):
+        noisy = sizes * (1 + NOISE[len(people)] * rng.standard_normal(len(sizes)))
         owner = np.zeros(len(sizes), np.int64)
-        best_fit(np.argsort(-noise, kind="stable"), sizes, capacity, [], owner, 0)
+        best_fit(np.argsort(-noisy, kind="stable"), sizes, capacity, [], owner, 0)
         people.append(owner)
     marks = [fitness(p, sizes, capacity) for p in people]
     bound = -(-int(sizes.sum()) // capacity)
-    for _ in range(children):
-        if min(marks)[0] <= bound:
-            break
+    done = gains = idle = 0
+    while done < children and idle < patience and (min(marks)[0] > bound or not done):
         i, j = rng.choice(len(people), 2, replace=False)
         if marks[j] < marks[i]:
             i, j = j, i
         child = crossover(people[i], people[j], sizes, capacity, rng)
         mark, worst = fitness(child, sizes, capacity), int(max(range(len(people)), key=marks.__getitem__))
+        done, idle = done + 1, idle + 1
         if mark < marks[worst]:
-            people[worst], marks[worst] = child, mark
-    return people[int(min(range(len(people)), key=marks.__getitem__))]
+            gains += mark < min(marks)
+            people[worst], marks[worst], idle = child, mark, 0
+    return people[int(min(range(len(people)), key=marks.__getitem__))], done, gains
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", cell_rows: int = CELL_ROWS, islands: int = ISLANDS, epochs: int = EPOCHS, children: int = CHILDREN) -> DataFrame:
@@ -204,22 +201,22 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", cell_r
         rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island")).withColumn("bin", F.lit(-1)).withColumn("source", F.lit(0))
 
         def step(epoch: int):
-            def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
                 cell, island = (int(x) for x in key)
                 pdf = pdf.sort_values(["source", "__row"], kind="stable")
                 groups = [g for _, g in pdf.groupby("source", sort=True)]
                 sizes = groups[0]["size"].to_numpy(np.int64)
                 known = [g["bin"].to_numpy(np.int64) for g in groups if g["bin"].iloc[0] >= 0]
-                best = evolve(sizes, capacity, (cell * 31 + island) * 7 + epoch * 2 + island, children, known)
+                best, done, gains = evolve(sizes, capacity, (cell * 31 + island) * 7 + epoch * 2 + island, children, known)
                 best = np.unique(best, return_inverse=True)[1]
                 bins, mark = fitness(best, sizes, capacity)
-                return pd.DataFrame({"__row": groups[0]["__row"].to_numpy(), "size": sizes.astype(np.int32), "cell": np.int32(cell), "island": np.int32(island), "bin": best.astype(np.int32), "fill": np.bincount(best, sizes)[best].astype(np.int32), "bins": np.int32(bins), "mark": mark})
+                return pd.DataFrame({"__row": groups[0]["__row"].to_numpy(), "size": sizes.astype(np.int32), "cell": np.int32(cell), "island": np.int32(island), "bin": best.astype(np.int32), "fill": np.bincount(best, sizes)[best].astype(np.int32), "bins": np.int32(bins), "mark": mark, "crossovers": np.int32(done), "gains": np.int32(gains)})
 
             return run
 
         out = None
         for epoch in range(epochs):
-            out = rows.groupBy("cell", "island").applyInPandas(step(epoch), "__row long, size int, cell int, island int, bin int, fill int, bins int, mark double")
+            out = rows.groupBy("cell", "island").applyInPandas(step(epoch), "__row long, size int, cell int, island int, bin int, fill int, bins int, mark double, crossovers int, gains int")
             out = durable(out, f"islands-{name}")
             if epoch + 1 < epochs:  # the elite of every island goes to the next one too
                 own = out.select("__row", "size", "cell", "island", "bin", F.lit(0).alias("source"))
