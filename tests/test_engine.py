@@ -183,3 +183,59 @@ def test_promql_on_tables(engine):
     engine.sql("INSERT INTO cpu VALUES ('2024-01-01 00:00:00', 'a', 1), ('2024-01-01 00:00:10', 'a', 6), ('2024-01-01 00:00:00', 'b', 3)")
     assert [tuple(r)[1:] for r in engine.promql('rate(cpu{host="a"}[1m])').collect()] == [("a", 0.5)]
     assert rows(engine.promql("avg by (host) (cpu)")) == [("a", 3.5), ("b", 3.0)]
+
+
+def test_two_engines_on_one_store(engine, spark):
+    """A change that another engine has overtaken is refused, not lost; statements see the newest catalog."""
+    other = Engine(spark, engine.root)
+    engine.sql("CREATE TABLE a (ts TIMESTAMP, v FLOAT64) TIMESTAMP(ts)")
+    other.sql("CREATE TABLE b (ts TIMESTAMP, v FLOAT64) TIMESTAMP(ts)")
+    assert {r.name for r in Engine(spark, engine.root).sql("LIST TABLES").collect()} == {"a", "b"}
+    engine.refresh()
+    other.sql("CREATE CONSUMER GROUP g ON a")
+    engine.catalog["tables"]["c"] = {"columns": [["ts", "TIMESTAMP"]], "ts": "ts", "props": {}}
+    with pytest.raises(QueryError):
+        engine._save()
+    assert "g" in engine.catalog["consumers"] and "c" not in engine.catalog["tables"]
+    for n in range(8):  # old versions go
+        engine.sql(f"COMMIT OFFSET g AT {n}")
+    assert len([n for n in engine.files.names(engine.root) if n.startswith("catalog.json.")]) <= 5
+
+
+def test_broken_rewrites_are_settled(engine):
+    engine.sql("CREATE TABLE t (ts TIMESTAMP, v FLOAT64) TIMESTAMP(ts)")
+    for day in (1, 2):
+        engine.sql(f"INSERT INTO t VALUES ('2024-01-0{day}', {day})")
+        engine.sql(f"INSERT INTO t VALUES ('2024-01-0{day} 12:00:00', {day})")
+    at = engine.path("t")
+    engine.files.rename(f"{at}/_part_day=20240101", f"{at}/_old-_part_day-20240101")  # the work ended here
+    assert engine.sql("SELECT v FROM t").count() == 2
+    assert engine.recover("t") == 1 and engine.sql("SELECT v FROM t").count() == 4
+    engine.delete_exact("t", "v = 1 OR ts = '2024-01-02 12:00:00'")
+    assert rows(engine.sql("SELECT v FROM t")) == [(2.0,)] and [n for n in engine.files.names(at) if n.startswith("_old")] == []
+
+
+def test_statistics_from_footers(engine):
+    engine.sql("CREATE TABLE t (ts TIMESTAMP, id INT64, v FLOAT64, s SYMBOL) TIMESTAMP(ts)")
+    engine.sql("INSERT INTO t VALUES ('2024-01-01', 4, 1.5, 'a'), ('2024-01-03', -2, 0.5, 'b')")
+    df = engine.stats("t")
+    assert "PushedAggregation: [COUNT(*), MIN(id)" in df._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in df.collect()) == [("id", "-2", "4", 2), ("ts", "2024-01-01 00:00:00", "2024-01-03 00:00:00", 2), ("v", "0.5", "1.5", 2)]
+    engine.sql("CREATE TABLE none (ts TIMESTAMP, v FLOAT64) TIMESTAMP(ts)")
+    assert {tuple(r) for r in engine.stats("none").collect()} == {("ts", None, None, 0), ("v", None, None, 0)}
+
+
+def test_migration(engine, spark, tmp_path):
+    engine.sql("CREATE STABLE st (ts TIMESTAMP, v FLOAT64) TAGS (site SYMBOL)")
+    engine.sql("CREATE TABLE c1 USING st TAGS ('a')")
+    engine.sql("CREATE TABLE t (ts TIMESTAMP, v FLOAT64) TIMESTAMP(ts)")
+    engine.sql("INSERT INTO c1 VALUES ('2024-01-01', 1)")
+    engine.sql("INSERT INTO t VALUES ('2024-01-01', 1), ('2024-01-05', 2)")
+    other = Engine(spark, str(tmp_path / "there"))
+    assert engine.migrate(other, ["c1", "t"]) == engine.migrate(other, ["c1", "t"]) == {"c1": 1, "t": 2}
+    assert other.sql("SELECT site, v FROM st").first() == ("a", 1.0)
+    other.sql("INSERT INTO t VALUES ('2024-01-06', 3)")
+    with pytest.raises(QueryError):
+        engine.migrate(other, ["t"], drop=True)
+    engine.migrate(other, ["c1"], drop=True)
+    assert "c1" not in engine.catalog["tables"] and other.sql("SELECT v FROM c1").count() == 1

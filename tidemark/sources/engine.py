@@ -472,7 +472,7 @@ class Engine:
     def _swap(self, table: str, name: str, fresh: str | None) -> None:
         """Puts the folder ``fresh`` (or nothing) in a partition's place. The old one is renamed aside first and deleted last;
         ``recover`` brings it back if the work ends in between."""
-        here, aside = f"{self.path(table)}/{name}", f"{self.path(table)}/_old-{name}"
+        here, aside = f"{self.path(table)}/{name}", f"{self.path(table)}/_old-{name.replace('=', '-')}"  # no partition's name
         self.files.rename(here, aside)
         if fresh:
             self.files.rename(fresh, here)
@@ -486,7 +486,7 @@ class Engine:
         names = self.files.names(here)
         for n in names:
             if n.startswith("_old-"):
-                back = n.removeprefix("_old-")
+                back = "=".join(n.removeprefix("_old-").rsplit("-", 1))
                 if back not in names and not self.files.exists(f"{here}/{n}/_empty"):
                     self.files.rename(f"{here}/{n}", f"{here}/{back}")
                     done += 1
@@ -633,21 +633,24 @@ class Engine:
         return out
 
     def stats(self, table: str) -> DataFrame:
-        """column, least, most (as text) and rows of every number and time column, from the files' footers alone.
+        """column, least, most (as text) and rows: of every number column from the files' footers alone, of the time column from
+        the first and the last partition.
 
-        Parquet's own statistics are asked for by aggregate push-down, which only Spark's second Parquet reader has; a session of
-        its own has that reader and the setting. No row is decoded.
+        Parquet's own statistics are asked for by aggregate push-down, which only Spark's second Parquet reader has (and not for
+        times); a session of its own has that reader and the setting.
         """
         t = self._entry("tables", table)
-        names = [c for c, k in self._shape(t) if k != "SYMBOL"]
+        names, ts, part = [c for c, k in self._shape(t) if k not in ("SYMBOL", "TIMESTAMP")], self._time(t), self._part(t)
         session = self.spark.newSession()
         for key, value in (("spark.sql.sources.useV1SourceList", ""), ("spark.sql.parquet.aggregatePushdown", "true"), ("spark.sql.session.timeZone", "UTC")):
             session.conf.set(key, value)
-        full = T.StructType([*self.schema(table).fields, T.StructField(self._part(t), T.StringType())])
-        rows = session.read.schema(full).parquet(self.path(table)) if self.files.names(self.path(table)) else session.createDataFrame([], full)
-        found = rows.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{i}") for i, c in enumerate(names) for f in (F.min, F.max)])
-        one = [F.struct(F.lit(c).alias("column"), F.col(f"min_{i}").cast("string").alias("least"), F.col(f"max_{i}").cast("string").alias("most"), F.col("n").alias("rows")) for i, c in enumerate(names)]
-        return found.select(F.explode(F.array(*one)).alias("x")).select("x.*")
+        full = T.StructType([*self.schema(table).fields, T.StructField(part, T.StringType())])
+        held = sorted(n.split("=")[1] for n, *_ in self.partitions(table))
+        rows = session.read.schema(full).parquet(self.path(table)) if held else session.createDataFrame([], full)
+        found = rows.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{i}") for i, c in enumerate(names) for f in (F.min, F.max)]).withColumn("one", F.lit(1))
+        ends = rows.where(F.col(part).isin(held[:1] + held[-1:])).agg(F.min(ts).alias("min_t"), F.max(ts).alias("max_t")).withColumn("one", F.lit(1))
+        told = lambda c, i: F.struct(F.lit(c).alias("column"), F.col(f"min_{i}").cast("string").alias("least"), F.col(f"max_{i}").cast("string").alias("most"), F.col("n").alias("rows"))
+        return found.join(ends, "one").select(F.explode(F.array(told(ts, "t"), *[told(c, i) for i, c in enumerate(names)])).alias("x")).select("x.*")
 
     def verify(self, manifest: dict) -> list[str]:
         """Tables whose rows or last time differ from the manifest."""
