@@ -1,12 +1,12 @@
 """Operator 3: sharding by weighted rendezvous hashing, native expressions only.
 
 Every (key, shard) pair has a hash u in (0, 1); the row goes to the shard with the least -ln(u) / weight. A
-shard that is added takes rows into itself and moves no others. Slots number a shard's rows in the order
-of the key's digest: counts by (shard, digest prefix) give each prefix its first slot, and only the rows of
-one prefix are ranked together, so no task holds a whole shard.
+shard that is added takes rows into itself and moves no others. Slots number a shard's rows: equal rows are counted
+with partial aggregation, counts by (shard, part of a row's digest) give each part its first slot, and only the distinct
+rows of one part are ranked together, so no task holds a whole shard or a frequent key.
 
 Defined results: a null id is a key of its own; null texts count no bytes and have the CRC of no bytes;
-rows with equal ids share a shard and get slots of their own, in the order of text CRC and size. An empty table gives no rows.
+rows with equal ids share a shard and get slots of their own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ._common import table
 
-#: Hex digits of the digest that split a shard for numbering: 16 ** 3 parts of each shard.
+#: Hex digits of a row's digest that split a shard for numbering: 16 ** 3 parts of each shard.
 PREFIX = 3
 
 
@@ -38,18 +38,22 @@ def shard_rows(df: DataFrame, weights: Sequence[float], key: str = "doc_id", tex
     """Per row: the key, size, text_crc32, law, shard, slot, grown_shard (with one more shard of grown_weight)."""
     name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = df.select(F.col(key).alias("__key"), F.md5(name).alias("__digest"), rendezvous(name, weights).alias("__shard"), rendezvous(name, [*weights, grown_weight]).alias("__grown"),
-                     (F.octet_length(body).cast("long") + 8).alias("__size"), F.crc32(body.cast("binary")).alias("__crc"))
-    rows = rows.withColumn("__part", F.substring("__digest", 1, PREFIX))
-    # The counts read the ids only; they are at most shards x 16 ** PREFIX rows.
-    counts = rows.groupBy("__shard", "__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("__shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("__shard", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    within = Window.partitionBy("__shard", "__part").orderBy("__digest", "__crc", "__size")
-    ranked = rows.withColumn("__rank", F.row_number().over(within) - 1)
-    out = ranked.join(F.broadcast(first) if len(weights) * 16**PREFIX <= 1 << 20 else first, ["__shard", "__part"])
-    return out.select(F.col("__key").alias(key), F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("key").alias("law"),
-                      F.col("__shard").alias("shard"), (F.col("__first") + F.col("__rank")).cast("long").alias("slot"), F.col("__grown").alias("grown_shard"))
+    rows = df.select(F.col(key).alias("key"), rendezvous(name, weights).alias("shard"), rendezvous(name, [*weights, grown_weight]).alias("grown"),
+                     (F.octet_length(body).cast("long") + 8).alias("size"), F.crc32(body.cast("binary")).alias("crc"))
+    # Equal rows are one row with a count: they take neighbouring slots.
+    rows = rows.groupBy("key", "shard", "grown", "size", "crc").agg(F.count(F.lit(1)).alias("n"))
+    part = F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("null")), "crc", "size")), 1, PREFIX)
+    rows = rows.withColumn("part", F.conv(part, 16, 10).cast("int"))
+    # The counts are at most shards x 16 ** PREFIX rows.
+    counts = rows.groupBy("shard", "part").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = Window.partitionBy("shard", "part").orderBy("key", "crc", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.withColumn("rank", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    out = ranked.join(F.broadcast(first) if len(weights) * 16**PREFIX <= 1 << 20 else first, ["shard", "part"])
+    start = F.col("first") + F.col("rank")
+    return out.select(F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit("key").alias("law"), "shard",
+                      F.explode(F.sequence(start, start + F.col("n") - 1)).alias("slot"), F.col("grown").alias("grown_shard"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
