@@ -28,6 +28,9 @@ from ._common import ascii_lower, durable, table
 #: The contract's rules: (rule, verdict).
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
+#: 64-bit words of a filter that come to the driver as one row.
+CHUNK_WORDS = 1024
+
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -59,17 +62,22 @@ class Level:
 
 
 def _level(keys: DataFrame, number: int, n: int, rate: float, max_bytes: int) -> Level:
-    """A filter of the keys (column ``key``), built by a distributed bit_or of its bytes."""
+    """A filter of the keys (column ``key``), built by a distributed bit_or of its words."""
     n_bits = max(64, math.ceil(n * math.log2(1 / rate) / math.log(2)))
-    n_bits = (n_bits + 7) // 8 * 8
+    n_bits = (n_bits + 63) // 64 * 64
     if n_bits // 8 > max_bytes:
         raise ValueError(f"the filter needs {n_bits // 8} bytes, more than max_filter_bytes={max_bytes}")
     k = max(1, round(math.log2(1 / rate)))
     at = keys.select(F.explode(F.array(*_bits(F.col("key"), number, n_bits, k))).alias("at"))
-    bits = bytearray(n_bits // 8)
-    for byte, value in at.groupBy(F.floor(F.col("at") / 8).alias("byte")).agg(F.bit_or(_mask(F.col("at"))).alias("value")).collect():  # at most max_bytes
-        bits[byte] = value
-    return Level(number, bits, n_bits, k)
+    # Words of 64 bits whose hex digits are the filter's bytes in order, then chunks of words: the driver gets a row a chunk.
+    bit = F.expr("shiftleft(1L, cast(56 - 8 * (at % 64 div 8) + at % 8 as int))")
+    words = at.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    chunks = words.groupBy(F.expr(f"word div {CHUNK_WORDS}").alias("chunk")).agg(F.map_from_entries(F.collect_list(F.struct(F.expr(f"cast(word % {CHUNK_WORDS} as int)").alias("i"), F.lpad(F.hex("bits"), 16, "0").alias("x")))).alias("held"))
+    whole = F.transform(F.sequence(F.lit(0), F.lit(CHUNK_WORDS - 1)), lambda i: F.coalesce(F.try_element_at("held", i), F.lit("0" * 16)))
+    bits = bytearray(-(-n_bits // 64 // CHUNK_WORDS) * CHUNK_WORDS * 8)
+    for chunk, data in chunks.select("chunk", F.unhex(F.array_join(whole, "")).alias("data")).collect():  # at most max_bytes in all
+        bits[chunk * CHUNK_WORDS * 8 : (chunk + 1) * CHUNK_WORDS * 8] = data
+    return Level(number, bits[: n_bits // 8], n_bits, k)
 
 
 class Cascade:
