@@ -48,8 +48,8 @@ def _among(words_of: DataFrame):
 def hits(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = SIZE, windows_at_once: int = WINDOWS_AT_ONCE) -> DataFrame:
     """Per row of df: __key, __t (hash of the text), n_words, n_hit, n_items, items_sha256, contaminated; equal rows once, with __rows of them."""
     windows = durable(_windows(benchmark, item, item_text, size).withColumn("id", F.monotonically_increasing_id()), "windows")
-    n, size = windows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.array_join("window", " "))), F.lit(0))).first()
-    parts = max(1, -(-n // windows_at_once), -(-size // BYTES_AT_ONCE))
+    n, held = windows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.array_join("window", " "))), F.lit(0))).first()
+    parts = max(1, -(-n // windows_at_once), -(-held // BYTES_AT_ONCE))
     docs = df.select(F.col(key).alias("__key"), F.xxhash64(F.col(text).cast("string")).alias("__t"), F.octet_length(F.col(text).cast("string")).alias("__len"), words(F.col(text).cast("string")).alias("__w"))
     found = None
     for part in range(parts):
@@ -65,17 +65,20 @@ def hits(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "
         prefix = prefix.groupBy("__word").agg(F.collect_list(F.struct("o", "id", "window")).alias("by"))
         prefix = durable(prefix, "prefixes")
         among = _among(prefix)
-        places = F.array_compact(F.transform("__w", lambda x, i: F.when(among(x), i + 1)))
+        # A place takes the words around it along, not the document's: a window around it lies within them.
+        base = lambda p: F.greatest(p - (size - 1), F.lit(1))
+        places = F.array_compact(F.transform("__w", lambda x, i: F.when(among(x), F.struct((i + 1).alias("p"), x.alias("word"), F.slice("__w", base(i + 1), 2 * size - 1).alias("near")))))
         if part == 0:  # place 0 stands for the document itself, so that documents without hits come through the same pass
-            places = F.array_insert(places, 1, F.lit(0))
+            self = F.struct(F.lit(0).alias("p"), F.lit("").alias("word"), F.array().cast("array<string>").alias("near"))
+            places = F.array_insert(places, 1, self)
             prefix = prefix.unionByName(df.sparkSession.range(1).select(F.lit("").alias("__word"), F.array().cast(prefix.schema["by"].dataType).alias("by")))
-        at = lambda x: F.col("__p") - x["o"]  # noqa: E731  first word of the window, from 1
-        fits = lambda x: (at(x) >= 1) & (at(x) + F.size(x["window"]) - 1 <= F.size("__w"))
-        same = lambda x: F.slice("__w", F.greatest(at(x), F.lit(1)), F.size(x["window"])) == x["window"]
-        near = docs.select("*", F.explode(places).alias("__p")).withColumn("__word", F.when(F.col("__p") == 0, F.lit("")).otherwise(F.try_element_at("__w", F.col("__p"))))
+        at = lambda x: F.col("__p.p") - x["o"]  # noqa: E731  first word of the window, from 1
+        fits = lambda x: (at(x) >= 1) & (at(x) + F.size(x["window"]) - 1 <= F.col("__n"))
+        same = lambda x: F.slice("__p.near", at(x) - base(F.col("__p.p")) + 1, F.size(x["window"])) == x["window"]
+        near = docs.select("__key", "__t", "__len", F.size("__w").alias("__n"), F.explode(places).alias("__p")).withColumn("__word", F.col("__p.word"))
         near = near.join(F.broadcast(prefix), "__word")
         ok = F.transform(F.filter("by", lambda x: fits(x) & same(x)), lambda x: F.struct(at(x).alias("a"), (at(x) + F.size(x["window"])).alias("b"), x["id"].alias("id")))
-        near = near.select("__key", "__t", "__len", F.size("__w").alias("n"), (F.col("__p") == 0).alias("self"), ok.alias("ok")).where("self or size(ok) > 0")
+        near = near.select("__key", "__t", "__len", F.col("__n").alias("n"), (F.col("__p.p") == 0).alias("self"), ok.alias("ok")).where("self or size(ok) > 0")
         near = durable(near, "part") if parts > 1 else near
         found = near if found is None else found.unionByName(near)
     flat = found.select("__key", "__t", "__len", "n", "self", F.explode_outer("ok").alias("x"))
