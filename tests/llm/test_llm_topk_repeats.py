@@ -23,3 +23,17 @@ def test_repeated_queries_equal_sql(spark, queries, floor):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     got = topk.top_k(df, F.col("vec_id") % 20 == 0, block_rows=32, query_rows=queries, floor_rows=floor)
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_every_query_row_has_its_own_ranking(spark):
+    """A repeated query row, a repeated candidate and two vectors under one query id, by hand."""
+    rows = [(20, [1.0, 0.0])] * 2 + [(40, [1.0, 0.0]), (40, [0.0, 1.0])] + [(7, [0.5, 0.0])] * 2 + [(33, [0.25, 1.0]), (46, [0.125, 0.5]), (59, [0.0, 0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0, k=4).collect()))
+    score = lambda a, b: sum(int(64 * x) * int(64 * y) for x, y in zip(a, b))
+    want = []
+    for q, v in rows:
+        if q % 20 == 0:
+            best = sorted((-score(v, w), i) for i, w in rows if i != q)[:4]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == sorted(want) and len([x for x in got if x[0] == 20]) == 8

@@ -12,14 +12,15 @@ return at most k rows a query and block, and those that can't reach the floor re
 
 Defined results: vectors that are null, or hold null, NaN or infinite components, take no part, nor do rows with a
 null id. Components beyond a vector's length count as zero. A row with the query's own id is never its
-candidate. Ties go to the smaller id; a repeated row of another id keeps its place in the ranking. Rows that share a
-query id are ranked together, as in the SQL: the candidates of all of them under one id, each as often as its query row
-occurs. Equal rows are searched once, with their number; places past k are never made, so hot rows cost nothing.
+candidate. Ties go to the smaller id; a repeated row of another id keeps its place in the ranking. Every query row has
+ranks from 1 to k of its own: equal query rows are searched once and answered each, rows of one id with different
+vectors have a ranking each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -93,7 +94,7 @@ class Block:
 
 def _scan(rows: DataFrame, held, k: int, width: int, block_rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, queries, times, floors = held.value
+        numbers, qids, queries, floors = held.value
         ids: list[np.ndarray] = []
         vectors: list[np.ndarray] = []
 
@@ -102,15 +103,14 @@ def _scan(rows: DataFrame, held, k: int, width: int, block_rows: int) -> DataFra
             out: list[tuple] = []
             for i in range(len(qids)):
                 got, score = block.search(qids[i], queries[i], k, floors[i])
-                got, score = np.repeat(got, times[i])[:k], np.repeat(score, times[i])[:k]
                 if len(got):
                     floors[i] = max(floors[i], score[-1]) if len(got) == k else floors[i]
-                    out.append((np.full(len(got), qids[i]), got, score))
+                    out.append((np.full(len(got), numbers[i]), got, score))
             ids.clear()
             vectors.clear()
             for c in range(0, len(out), 4096):
                 part = [np.concatenate(x) for x in zip(*out[c : c + 4096], strict=True)]
-                yield pa.record_batch([pa.array(part[0]), pa.array(part[1]), pa.array(part[2].astype(np.int64))], names=["query_id", "vec_id", "score"])
+                yield pa.record_batch([pa.array(part[0]), pa.array(part[1]), pa.array(part[2].astype(np.int64))], names=["query", "vec_id", "score"])
 
         floors = floors.copy()
         for batch in batches:
@@ -123,11 +123,11 @@ def _scan(rows: DataFrame, held, k: int, width: int, block_rows: int) -> DataFra
         if ids:
             yield from flush()
 
-    return rows.select("vec_id", "q", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))).select("vec_id", "q").mapInArrow(run, "query_id long, vec_id long, score long")
+    return rows.select("vec_id", "q", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))).select("vec_id", "q").mapInArrow(run, "query long, vec_id long, score long")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
@@ -136,12 +136,12 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vec
     """query_id, rank, vec_id, score for every row where is_query holds, against all other rows."""
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("vec_id"), quantised(F.col(vector), scale).alias("q"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    # Of equal rows no more than k can have a place, as candidates or as queries.
-    rows = rows.where("q is not null and vec_id is not null").groupBy("vec_id", "q").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("n"), F.least(F.count_if("asks"), F.lit(k)).alias("asks"))
+    # Of equal candidates no more than k can have a place.
+    rows = rows.where("q is not null and vec_id is not null").groupBy("vec_id", "q").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("n"), F.count_if("asks").alias("asks"))
     rows = durable(rows, "vectors")
     n, asking, width = rows.agg(F.sum("n"), F.count_if(F.col("asks") > 0), F.max(F.size("q"))).first()
     n = n or 0
-    parts, out = max(1, -(-asking // query_rows)), None
+    parts, out, names = max(1, -(-asking // query_rows)), None, []
     for part in range(parts):
         mine = rows.where((F.col("asks") > 0) & (F.pmod(F.xxhash64("vec_id", "q"), F.lit(parts)) == part))
         got = mine.select("vec_id", "q", "asks").toArrow()  # distinct, so about query_rows of them
@@ -149,21 +149,23 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vec
             continue
         got = got.combine_chunks()
         column = got.column(1).chunk(0)
-        qids, queries, times = got.column(0).to_numpy(), _matrix(column, width), got.column(2).to_numpy()
-        none = np.full(len(qids), -np.inf)
+        qids, queries = got.column(0).to_numpy(), _matrix(column, width)
+        numbers, none = (part << 32) + np.arange(len(qids)), np.full(len(qids), -np.inf)
+        names.append(spark.createDataFrame(pa.table({"query": numbers, "query_id": qids, "times": got.column(2).to_numpy()})))
         floors = none
         if n > 4 * floor_rows:
             # Any rows give a floor that holds; these are the first of a hash order, at most floor_rows or so.
             some = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(part)), F.lit(max(1, n // floor_rows))) == 0)
-            low = _ranked(_scan(some.coalesce(1), spark.sparkContext.broadcast((qids, queries, times, none)), k, width, block_rows), k)
-            low = low.groupBy("query_id").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("c")).where(F.col("c") == k).select("query_id", "low").toArrow()
+            low = _ranked(_scan(some.coalesce(1), spark.sparkContext.broadcast((numbers, qids, queries, none)), k, width, block_rows), k)
+            low = low.groupBy("query").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("c")).where(F.col("c") == k).select("query", "low").toArrow()
             at = dict(zip(low.column(0).to_pylist(), low.column(1).to_pylist(), strict=True))
-            floors = np.array([at.get(i, -np.inf) for i in qids.tolist()], np.float64)
-        found = _scan(rows.repartition(max(1, -(-n // block_rows)), F.xxhash64("vec_id", "q")), spark.sparkContext.broadcast((qids, queries, times, floors)), k, width, block_rows)
+            floors = np.array([at.get(i, -np.inf) for i in numbers.tolist()], np.float64)
+        found = _scan(rows.repartition(max(1, -(-n // block_rows)), F.xxhash64("vec_id", "q")), spark.sparkContext.broadcast((numbers, qids, queries, floors)), k, width, block_rows)
         out = found if out is None else out.unionByName(found)
     if out is None:
-        out = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    return _ranked(out, k).select("query_id", "rank", "vec_id", "score")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    named = reduce(DataFrame.unionByName, names).withColumn("times", F.array_repeat(F.lit(0), F.col("times").cast("int")))
+    return _ranked(out, k).join(named, "query").select("query_id", "rank", "vec_id", "score", F.explode("times")).drop("col")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,11 +175,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  SELECT row_number() OVER () AS nr, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS score
+  SELECT a.nr, a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS score
   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
-r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY nr ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
