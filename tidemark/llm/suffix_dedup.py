@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from ._common import durable, release, small_batches, table
 
-LENGTH, GROUP_ROWS = 400, 500
+LENGTH, GROUP_ROWS = 400, 10_000
 PASSAGE = 250  # bytes; 51 words of prose have more
 ORDERED = 2000  # phrases ordered at once, besides the rest of a trigger
 CHUNK = 1 << 18  # bytes parsed at once
@@ -277,9 +277,11 @@ def _spans(docs: DataFrame, length: int, gram: int | None, group_rows: int) -> D
     small_batches(docs.sparkSession)
     docs = docs.where(F.octet_length("data") >= length)
     occ = durable(_occurrences(docs, length, gram), "phrases")
-    again = occ.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k")
+    # A table of its own: the join with it can split frequent triggers, which it could not with the aggregate on one side.
+    again = durable(occ.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k"), "triggers")
     occ, old = durable(occ.join(again, "k"), "repeated-triggers"), occ
     release(old)
+    release(again)
     one = F.struct("t1", "t2", "lo", "hi", "off")
     dictionary = durable(occ.groupBy("k", "f").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("at")), "dictionary")
     several = dictionary.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k", (F.col("c") > group_rows).alias("hot"))
