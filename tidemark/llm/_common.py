@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..shipping import shared_dir, ship
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -18,16 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares; a temporary one only where none is set (local runs, tests)."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        top = tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(top)
-        top = spark.sparkContext.getCheckpointDir()
-    return top.rstrip("/")
-
-
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage with a table in the shared folder: computed once, and safe when executors are lost."""
     spark = df.sparkSession

@@ -1,7 +1,9 @@
 """Near copies for the pipeline: rows whose sets of five-word shingles have a Jaccard similarity of 0.8 and more.
 
-Candidates come from MinHash bands: 60 cells a set, each named by five minima. Two sets at the threshold share no
-cell with a chance of (1 - 0.8 ** 5) ** 60, under 1e-10; more similar sets with less. Sets that share cells, directly
+Candidates come from operator 10, SimHash fingerprints of the shingles linked by its grid join, and, since most pairs at
+the threshold are 5 to 14 bits apart and so beyond any radius that the grid can be searched with, from MinHash
+bands as well: 60 cells a set, each named by five minima. Two sets at the threshold share no cell with a chance of
+(1 - 0.8 ** 5) ** 60, under 1e-10; more similar sets with less. Sets that share cells or are linked, directly
 or by way of others, are one candidate group. A group is gathered once with whole shingle sets and its pairs are
 tested exactly, so no candidate counts as a copy unverified. Groups over ``group`` shingles are cut into blocks, and
 every two blocks meet in a task of their own: all pairs are still tested, and no task holds more than two blocks.
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import durable, small_batches, text_key
-from .simhash import _mix, components, keep_least, named_by
+from .simhash import DISTANCE, _mix, components, keep_least, majority, named_by
+from .simhash import links as simhash_links
 
 WORDS, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, MINIMA = 60, 5
@@ -61,7 +64,7 @@ def bands(found: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def _with_bands(df: DataFrame) -> DataFrame:
-    """The columns but __text, and __fp (hash of the shingle set), __n (its size), __bands (none of an empty set)."""
+    """The columns but __text, and __fp (hash of the shingle set), __n (its size), __sim (its SimHash), __bands (none of an empty set)."""
     small_batches(df.sparkSession)
     at, factors = df.columns.index("__text"), _factors()
 
@@ -70,13 +73,14 @@ def _with_bands(df: DataFrame) -> DataFrame:
             sets = [shingles(t) for t in batch.column(at).to_pylist()]
             fp = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets))
             n = np.fromiter(map(len, sets), np.int64, len(sets))
+            sim = np.fromiter(map(majority, sets), np.uint64, len(sets))
             cells = [bands(s, factors) for s in sets if len(s)]
             flat = np.concatenate(cells) if cells else np.empty(0, np.uint64)
             offsets = np.concatenate(([0], np.cumsum((n > 0) * BANDS))).astype(np.int32)
             kept = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != "__text"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(fp.view(np.int64)), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))], names=names)
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(fp.view(np.int64)), pa.array(n), pa.array(sim.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))], names=names)
 
-    fields = [f for f in df.schema.fields if f.name != "__text"] + [T.StructField("__fp", T.LongType()), T.StructField("__n", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))]
+    fields = [f for f in df.schema.fields if f.name != "__text"] + [T.StructField("__fp", T.LongType()), T.StructField("__n", T.LongType()), T.StructField("__sim", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))]
     names = [f.name for f in fields]
     return df.mapInArrow(run, T.StructType(fields))
 
@@ -159,12 +163,21 @@ def _tested(df: DataFrame, similarity: float) -> DataFrame:
     return df.repartition(*on).sortWithinPartitions(*on).mapInArrow(run, "a long, b long")
 
 
-def links(told: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
-    """Edges (a, b) between sets that join all that are linked; told has __t1, __t2, __text, rows is durable."""
-    sets = rows.where("__n > 0").groupBy("__fp").agg(F.min(F.struct("__t1", "__t2")).alias("__t"), F.first("__n").alias("__n"), F.first("__bands").alias("__bands"))
+def candidates(sets: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Edges (a, b) that join the sets (__fp, __sim, __bands) of each candidate group."""
     cells = sets.select("__fp", F.explode("__bands").alias("cell"))
     cells = cells.withColumn("a", F.min("__fp").over(Window.partitionBy("cell"))).where("a <> __fp")
-    near = components(durable(cells.select("a", F.col("__fp").alias("b")).distinct(), "near-cells"))
+    hubs = durable(sets.groupBy("__sim").agg(F.min("__fp").alias("hub")), "near-hubs")
+    alike = sets.join(hubs, "__sim").where("hub <> __fp").select(F.col("hub").alias("a"), F.col("__fp").alias("b"))
+    end = lambda c: hubs.select(F.col("__sim").alias(c), F.col("hub").alias(f"hub_{c}"))
+    linked = simhash_links(hubs.select(F.col("__sim").alias("fp")), distance).join(end("a"), "a").join(end("b"), "b").select(F.col("hub_a").alias("a"), F.col("hub_b").alias("b"))
+    return cells.select("a", F.col("__fp").alias("b")).unionByName(alike).unionByName(linked).distinct()
+
+
+def links(told: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
+    """Edges (a, b) between sets that join all that are linked; told has __t1, __t2, __text, rows is durable."""
+    sets = rows.where("__n > 0").groupBy("__fp").agg(F.min(F.struct("__t1", "__t2")).alias("__t"), F.first("__n").alias("__n"), F.first("__sim").alias("__sim"), F.first("__bands").alias("__bands"))
+    near = components(durable(candidates(sets), "near-cells"))
     size = sets.select("__fp", "__t", "__n").join(near.select(F.col("node").alias("__fp"), F.col("root").alias("__root")), "__fp")
     size = durable(size, "near-groups")
     blocks = size.groupBy("__root").agg(F.ceil(F.sum("__n") / group).cast("long").alias("__blocks"))

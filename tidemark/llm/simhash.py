@@ -8,8 +8,10 @@ a cell for some choice of three groups. Inside a cell the bound prunes and the e
 
 Rows are first reduced to distinct fingerprints, so copies cost nothing. A cell emits a spanning forest of
 its links (as many rows as members at most), never all its pairs. Cells over ``cell_rows`` members are dealt out
-again by exact bits: 5 of 8 bytes, the other three free, which holds every link and at most 2 ** 24
-fingerprints a key. Components come from contraction rounds over the forest edges, all distributed.
+again by exact bits: 5 of 8 bytes, the other three free, which holds every link. Cells that are over it even then are not
+gathered: each member names the points at most one flipped bit away and those at most two away, and members that meet at
+a point are within three bits if one of them is within one. At most 1 + 24 + 276 distinct fingerprints can meet at a
+point, so this ends the recursion. Components come from contraction rounds over the forest edges, all distributed.
 
 Defined results: null texts and texts without words have fingerprint zero and link like any other; null
 ids don't name a component unless all its ids are null (then component_id is null); repeated rows stay.
@@ -31,6 +33,7 @@ from ._common import durable, small_batches, table, text_key
 
 WORDS, SEED, DISTANCE = 3, 42, 3
 CELL_ROWS = 20_000
+EDGES_AT_ONCE = 2_000_000  # 32 MB of edges
 
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
@@ -44,13 +47,15 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     n = max(1, len(parts) - words + 1)
     ends = (starts + sizes)[words - 1 :] if len(parts) >= words else np.array([len(joined)])
     digest = xxhash.xxh64_intdigest
+    return majority(np.fromiter((digest(joined[i:j], seed) for i, j in zip(starts[:n].tolist(), ends.tolist(), strict=True)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     counts, step = np.zeros(64, np.int64), 1 << 15
-    for k in range(0, n, step):
-        a, b = starts[k : min(n, k + step)].tolist(), ends[k : k + step].tolist()
-        h = np.fromiter([digest(joined[i:j], seed) for i, j in zip(a, b, strict=True)], np.uint64, len(a))
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    for k in range(0, len(hashes), step):
+        counts += np.unpackbits(hashes[k : k + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def with_fingerprints(df: DataFrame, text: str = "text", words: int = WORDS, seed: int = SEED, to: str = "__fp") -> DataFrame:
@@ -89,6 +94,32 @@ def _exact_cells(fp: np.ndarray, distance: int) -> list[np.ndarray]:
     return out
 
 
+def _flips(free: tuple[int, ...], most: int) -> list[tuple[np.uint64, int]]:
+    """Masks of up to ``most`` bits of the free bytes, with their number of bits."""
+    bits = [8 * b + i for b in free for i in range(8)]
+    return [(np.uint64(sum(1 << b for b in chosen)), k) for k in range(most + 1) for chosen in combinations(bits, k)]
+
+
+def _meeting(cells: DataFrame, distance: int) -> DataFrame:
+    """Edges (a, b) within exact cells (cell, fp): of two members within ``distance`` bits one is within half of it of a
+    point that the other is within the other half of."""
+    less, more = distance // 2, distance - distance // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            for free, own in zip(combinations(range(8), distance), _exact_cells(fp, distance), strict=True):
+                mine = own.view(np.int64) == cell
+                if mine.any():
+                    c, f = cell[mine], fp[mine]
+                    for mask, k in _flips(free, more):
+                        yield pa.record_batch([pa.array(c), pa.array((f ^ mask).view(np.int64)), pa.array(f.view(np.int64)), pa.array(np.full(len(f), k <= less))], names=["cell", "point", "fp", "near"])
+
+    at = cells.mapInArrow(run, "cell long, point long, fp long, near boolean").groupBy("cell", "point")
+    met = at.agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("a"), F.collect_set("fp").alias("bs")).where("a is not null and size(bs) > 1")
+    return met.select("a", F.explode("bs").alias("b")).where("a <> b").distinct()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -122,7 +153,7 @@ def forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _join_cells(distance: int, cell_rows: int):
-    """Links within each cell of a partition sorted by cell. Rows of cells over cell_rows come back as (fp, fp, True)."""
+    """Links within each cell of a partition sorted by cell. Rows of cells over cell_rows come back as (fp, cell, True)."""
 
     def out(a, b, over):
         return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), over))], names=["a", "b", "over"])
@@ -139,7 +170,7 @@ def _join_cells(distance: int, cell_rows: int):
             cell, fp = cell[whole:], fp[whole:]
             if len(cell) > cell_rows or large is not None:
                 large = cell[0] if len(cell) else large
-                yield out(fp, fp, True)
+                yield out(fp, cell, True)
                 cell, fp = cell[:0], fp[:0]
         yield from groups(cell, fp, large)
 
@@ -147,7 +178,7 @@ def _join_cells(distance: int, cell_rows: int):
         if large is not None and len(cell):  # the rest of a cell that was already passed on
             n = int(np.searchsorted(cell, large, "right"))
             if n:
-                yield out(fp[:n], fp[:n], True)
+                yield out(fp[:n], cell[:n], True)
             cell, fp = cell[n:], fp[n:]
         if len(cell) < 2:
             return
@@ -188,20 +219,56 @@ def links(prints: DataFrame, distance: int = DISTANCE, cell_rows: int = CELL_ROW
     hot = found.where("over")
     if not hot.isEmpty():
         fine = hot.select(F.col("a").alias("fp")).distinct().mapInArrow(dealt(_exact_cells), "cell long, fp long")
-        out = out.unionByName(joined(fine, 1 << 24))
+        found = durable(joined(fine, cell_rows), "simhash-fine")
+        out = out.unionByName(found.where("not over"))
+        hot = found.where("over")
+        if not hot.isEmpty():
+            out = out.unionByName(_meeting(hot.select(F.col("b").alias("cell"), F.col("a").alias("fp")), distance).withColumn("over", F.lit(False)))
     return durable(out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-edges")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def joined_up(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges and the root of each: its component's least node."""
+    node, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    up = np.arange(len(node))
+    while True:
+        ra, rb = up[a], up[b]
+        apart = ra != rb
+        if not apart.any():
+            return node, node[up]
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(up, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (up[up] != up).any():
+            up = up[up]
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+        if got:
+            node, root = joined_up(*(np.concatenate(x) for x in zip(*got, strict=True)))
+            yield pa.record_batch([pa.array(node), pa.array(root)], names=["node", "root"])
+
+    return edges.select("a", "b").repartition(1).mapInArrow(run, "node long, root long")
+
+
+def components(edges: DataFrame, at_once: int = EDGES_AT_ONCE) -> DataFrame:
     """(node, root) for every node of the edges (a, b): rounds that hook each node to its least neighbour and contract.
 
-    Every round at least halves the nodes that still have edges, so the rounds grow with the logarithm.
+    Every round at least halves the nodes that still have edges, so the rounds grow with the logarithm. Once at most
+    ``at_once`` edges between contracted nodes are left, one task of that bounded size ends the work.
     """
-    spark = edges.sparkSession
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     done = None
     number = 0
-    while not edges.isEmpty():
+    while True:
+        if edges.count() <= at_once:
+            last = durable(_in_one_task(edges), "components-last")
+            if done is None:
+                return last
+            later = last.select(F.col("node").alias("root"), F.col("root").alias("__later"))
+            return durable(done.join(later, "root", "left").select("node", F.coalesce("__later", "root").alias("root")), "components")
         number += 1
         # The order is drawn anew each round, so chains of hooks stay short.
         draw = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(number)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
@@ -220,7 +287,6 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             later = up.select(F.col("node").alias("root"), F.col("up").alias("__later"))
             done = durable(done.join(later, "root", "left").select("node", F.coalesce("__later", "root").alias("root")), "components")
-    return done if done is not None else spark.createDataFrame([], "node long, root long")
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, distance: int = DISTANCE, seed: int = SEED, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame]:
