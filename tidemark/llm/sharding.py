@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import durable, table
 
 #: Hex digits of a row's digest that split a shard for numbering: 16 ** 3 parts of each shard.
 PREFIX = 3
@@ -43,7 +43,8 @@ def shard_rows(df: DataFrame, weights: Sequence[float], key: str = "doc_id", tex
     # Equal rows are one row with a count: they take neighbouring slots.
     rows = rows.groupBy("key", "shard", "grown", "size", "crc").agg(F.count(F.lit(1)).alias("n"))
     part = F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("null")), "crc", "size")), 1, PREFIX)
-    rows = rows.withColumn("part", F.conv(part, 16, 10).cast("int"))
+    # Read twice from here on: a table of numbers, so that texts are read once.
+    rows = durable(rows.withColumn("part", F.conv(part, 16, 10).cast("int")), "shards")
     # The counts are at most shards x 16 ** PREFIX rows.
     counts = rows.groupBy("shard", "part").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
