@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,12 +18,17 @@ def _bounded(n: int) -> int:
     return n
 
 
-def row_functions(df: DataFrame, ts: str, wanted: dict[str, Callable], before: int, keys: Sequence[str] = (), tie: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
-    """Adds columns made from a window in which up to ``before`` earlier rows can be seen, by one pass."""
+def row_functions(df: DataFrame, ts: str, wanted: dict[str, Callable], before: int, keys: Sequence[str] = (), tie: Sequence[str] = (), blocks: int | None = None, sums: Mapping[str, str] | None = None) -> DataFrame:
+    """Adds columns made from a window in which up to ``before`` earlier rows can be seen, by one pass, and running sums of the columns in ``sums``."""
     cut, cuts = order.with_blocks(df, ts, keys, blocks)
-    rows = order.with_ghosts(cut, ts, keys, tie, cuts, before=before)
-    w = order.block_window(ts, keys, tie)
-    return rows.withColumns({name: make(w) for name, make in wanted.items()}).where(~F.col(order.GHOST)).drop(order.GHOST, order.BLOCK)
+    rows = cut
+    if wanted:
+        w = order.block_window(ts, keys, tie)
+        rows = order.with_ghosts(cut, ts, keys, tie, cuts, before=before)
+        rows = rows.withColumns({name: make(w) for name, make in wanted.items()}).where(~F.col(order.GHOST)).drop(order.GHOST)
+    for to, c in (sums or {}).items():
+        rows = order.running_sum(rows, _double(c), to, ts, keys, tie, cuts, cut)
+    return rows.drop(order.BLOCK)
 
 
 def _double(c: str) -> Column:
@@ -34,11 +39,13 @@ def diff_of(c: str) -> Callable:
     return lambda w: _double(c) - F.lag(_double(c)).over(w)
 
 
-def derivative_of(c: str, ts: str) -> Callable:
+def derivative_of(c: str, ts: str, quotient: bool = False) -> Callable:
+    """Between rows of one instant 0, or with ``quotient`` that of floating-point numbers: infinite, or NaN if nothing changes."""
+
     def make(w):
         dt = (order.micros(ts) - order.micros(F.lag(ts).over(w))).cast("double")
         dv = _double(c) - F.lag(_double(c)).over(w)
-        return F.when(dt == 0, F.lit(0.0)).otherwise(F.try_divide(dv, dt / 1e6))
+        return F.when(dt == 0, dv * float("inf") if quotient else F.lit(0.0)).otherwise(F.try_divide(dv, dt / 1e6))
 
     return make
 
@@ -55,9 +62,9 @@ def diff(df: DataFrame, ts: str, c: str, to: str, keys: Sequence[str] = (), tie:
     return row_functions(df, ts, {to: diff_of(c)}, 1, keys, tie, blocks)
 
 
-def derivative(df: DataFrame, ts: str, c: str, to: str, keys: Sequence[str] = (), tie: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
-    """Change per second; 0 between rows of one instant."""
-    return row_functions(df, ts, {to: derivative_of(c, ts)}, 1, keys, tie, blocks)
+def derivative(df: DataFrame, ts: str, c: str, to: str, keys: Sequence[str] = (), tie: Sequence[str] = (), blocks: int | None = None, quotient: bool = False) -> DataFrame:
+    """Change per second; 0 between rows of one instant, or infinite or NaN with ``quotient``."""
+    return row_functions(df, ts, {to: derivative_of(c, ts, quotient)}, 1, keys, tie, blocks)
 
 
 def mavg(df: DataFrame, ts: str, c: str, n: int, to: str, keys: Sequence[str] = (), tie: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
@@ -70,5 +77,4 @@ def lag(df: DataFrame, ts: str, c: str, n: int, to: str, keys: Sequence[str] = (
 
 
 def csum(df: DataFrame, ts: str, c: str, to: str, keys: Sequence[str] = (), tie: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
-    cut, cuts = order.with_blocks(df, ts, keys, blocks)
-    return order.running_total(cut, _double(c), to, ts, keys, tie, cuts).drop(order.BLOCK)
+    return row_functions(df, ts, {}, 0, keys, tie, blocks, {to: c})

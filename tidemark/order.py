@@ -153,3 +153,50 @@ def running_total(df: DataFrame, value: Column, to: str, ts: str, keys: Sequence
         out = out.join(offsets, same, "left").drop("__b", *[f"__k{i}" for i in range(len(keys))])
         out = out.withColumn(to, F.when(F.col(to).isNull() & F.col("__o").isNull(), None).otherwise(F.coalesce(F.col(to), F.lit(0)) + F.coalesce("__o", F.lit(0)))).drop("__o")
     return out.drop("__v")
+
+
+def _lost(a: Column, b: Column, s: Column) -> Column:
+    """What rounding took from s = a + b, exactly; null once s is not finite."""
+    part = s - a
+    return F.when(F.abs(s) < float("inf"), (a - (s - part)) + (b - part))
+
+
+def _or_zero(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(0.0))
+
+
+def _carried(df: DataFrame, value: Column, w) -> DataFrame:
+    """Adds the running sum of value as __s, that of the rows before as __b, and what its additions lost as __e."""
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumn("__v", value)
+    out = out.withColumns({"__s": F.sum("__v").over(upto), "__b": F.sum("__v").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    return out.withColumn("__e", _lost(_or_zero("__b"), _or_zero("__v"), F.col("__s"))).drop("__v")
+
+
+def running_sum(df: DataFrame, value: Column, to: str, ts: str, keys: Sequence[str], tie: Sequence[str], cuts: list, base: DataFrame | None = None) -> DataFrame:
+    """Adds the running sum of a double (nulls count nothing) over the series as column ``to``.
+
+    A sum of millions of doubles in turn drifts by many units of its last place, so what each addition loses is summed beside it and
+    added at the end, within blocks and over them. Block totals come from ``base``, the same rows by a shorter plan.
+    """
+    w = block_window(ts, keys, tie)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = _carried(df, value, w).withColumn("__c", F.sum("__e").over(upto)).drop("__b", "__e")
+    if not cuts:
+        return out.withColumn(to, F.col("__s") + _or_zero("__c")).drop("__s", "__c")
+    base = df if base is None else base
+    if keys:
+        base = base.where(F.col(BLOCK) != WHOLE)
+    ends = _carried(base, value, w).withColumn("__c", F.sum("__e").over(upto)).withColumn("__next", F.lead(F.lit(1)).over(w)).where("__next is null")
+    ends = ends.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(BLOCK).alias("__n"), F.col("__s").alias("__t"), F.col("__c").alias("__tc"))
+    names = [f"__k{i}" for i in range(len(keys))]
+    over = Window.partitionBy(*names).orderBy("__n")
+    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = _carried(ends, F.col("__t"), over).withColumn("__oc", F.sum(_or_zero("__e") + _or_zero("__tc")).over(earlier))
+    offsets = offsets.where("__b is not null").select(*names, "__n", F.col("__b").alias("__o"), "__oc")
+    # Without keys there is one row a block.
+    out = out.join(offsets if keys else F.broadcast(offsets), (F.col(BLOCK) == F.col("__n")) & _same(keys, names), "left")
+    both = _or_zero("__o") + _or_zero("__s")
+    rest = F.coalesce(_lost(_or_zero("__o"), _or_zero("__s"), both), F.lit(0.0)) + (_or_zero("__c") + _or_zero("__oc"))
+    out = out.withColumn(to, F.when(F.col("__s").isNotNull() | F.col("__o").isNotNull(), both + rest))
+    return out.drop("__s", "__c", "__n", "__o", "__oc", *names)

@@ -262,12 +262,13 @@ class Builder:
                     raise QueryError("mavg(column, rows)")
                 plain[to] = (row_ops.mavg_of if c.fn == "mavg" else row_ops.lag_of)(col, count or 1)
                 before = max(before, count or 1)
+            elif c.fn == "diff":
+                plain[to] = row_ops.diff_of(col)
             else:
-                plain[to] = row_ops.diff_of(col) if c.fn == "diff" else row_ops.derivative_of(col, src.ts)
-        if plain:
-            df = row_ops.row_functions(df, src.ts, plain, before, keys, src.tie)
-        for to, col in sums.items():
-            df = row_ops.csum(df, src.ts, col, to, keys, src.tie)
+                if len(c.args) > 1 and c.args[1:] != (a.Literal("quotient"),):
+                    raise QueryError("derivative(column) or derivative(column, 'quotient')")
+                plain[to] = row_ops.derivative_of(col, src.ts, len(c.args) > 1)
+        df = row_ops.row_functions(df, src.ts, plain, before, keys, src.tie, sums=sums)
         return df.select(*[self.expr(df, self._after(i.expr, made, df, {})).alias(i.alias or i.text) for i in items])
 
     def _grouped(self, q: a.Select, df: DataFrame, src: Source) -> DataFrame:

@@ -184,7 +184,7 @@ add("w11_sliding", lambda s, d: ops.sliding(load(s, d, "events"), "ts", "2h", "1
 
 # --- row functions ---
 _W = "OVER (ORDER BY ts, event_id)"
-add("r1_r5_row_functions", "SELECT event_id, diff(value) AS d, derivative(value) AS dv, csum(value) AS c, mavg(value, 5) AS m, lag(value, 3) AS l FROM events",
+add("r1_r5_row_functions", "SELECT event_id, diff(value) AS d, derivative(value, 'quotient') AS dv, csum(value) AS c, mavg(value, 5) AS m, lag(value, 3) AS l FROM events",
     f"""SELECT event_id, round(value - lag(value) {_W}, 6) AS d, round((value - lag(value) {_W}) / ((epoch_us(ts) - lag(epoch_us(ts)) {_W}) / 1e6), 6) AS dv,
     round(sum(value) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS c, round(avg(value) OVER (ORDER BY ts, event_id ROWS 4 PRECEDING), 6) AS m, round(lag(value, 3) {_W}, 6) AS l FROM events""")
 _WU = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
